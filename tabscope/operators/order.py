@@ -124,15 +124,15 @@ def numbered(df: DataFrame, order_by: Sequence[str] = (), within: str | None = N
     placed = in_order(df, keys).drop("_scan_position") if keys else df
     placed = materialised(placed)
     # High bits: partition. Low bits: position in it.
-    marked = placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.expr("shiftright(_at, 33)"))
-    group = reference(within) if within else "0"
-    marked = marked.withColumn("_group", F.expr(group))
-    parts = marked.groupBy("_group", "_part").agg(F.expr("count(1) AS _n"), F.expr("min(_at) AS _first"))
+    marked = placed.withColumn("_nr_at", F.monotonically_increasing_id()).withColumns({
+        "_nr_part": F.expr("shiftright(_nr_at, 33)"), "_nr_group": F.expr(reference(within) if within else "0")})
+    parts = marked.groupBy("_nr_group", "_nr_part").agg(F.expr("count(1) AS n"), F.expr("min(_nr_at) AS first"))
     offsets = parts.selectExpr(
-        "_group AS _g", "_part AS _p", "_first",
-        "coalesce(sum(_n) OVER (PARTITION BY _group ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
-        "AS _before")
+        "_nr_group AS _of_group", "_nr_part AS _of_part",
+        "coalesce(sum(n) OVER (PARTITION BY _nr_group ORDER BY _nr_part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+        "- first AS _of_shift")
     if within is None:
         offsets = F.broadcast(offsets)  # one row per partition
-    joined = marked.join(offsets, (F.col("_group").eqNullSafe(F.col("_g"))) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn(name, F.expr("_before + _at - _first")).drop("_at", "_part", "_group", "_g", "_p", "_first", "_before")
+    joined = marked.join(offsets, F.expr("_nr_group <=> _of_group AND _nr_part = _of_part"))
+    return joined.withColumn(name, F.expr("_nr_at + _of_shift")).drop(
+        "_nr_at", "_nr_part", "_nr_group", "_of_group", "_of_part", "_of_shift")

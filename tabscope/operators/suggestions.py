@@ -17,8 +17,8 @@ FENCE = "```"
 def parsed_suggestions(responses: DataFrame, column: str = "response") -> DataFrame:
     """Add ``target``, ``confidence``, ``reason`` and ``parse_status``.
 
-    Status: ``ok``, ``no_json``, ``no_object``, ``bad_confidence`` (neither absent nor a number)
-    or ``no_target``. Fields are NULL unless the status is ``ok``.
+    Status: ``ok``, ``no_json``, ``no_object``, ``bad_confidence`` (neither absent nor a number),
+    ``no_target`` or ``bad_target`` (no string). Fields are NULL unless the status is ``ok``.
     """
     text = F.expr(r"btrim(`" + column.replace("`", "``") + r"`, ' \t\r\n\f\u000b')")
     bare = F.when(
@@ -42,6 +42,7 @@ def parsed_suggestions(responses: DataFrame, column: str = "response") -> DataFr
         .when(~F.col("_root").startswith("OBJECT"), "no_object")
         .when(~numeric, "bad_confidence")
         .when(empty, "no_target")
+        .when(F.col("_target") != "STRING", "bad_target")
         .otherwise("ok")
     )
     parsed = parsed.withColumn("parse_status", status)
