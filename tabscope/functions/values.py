@@ -26,7 +26,8 @@ DIGEST_OVER = 64
 # Number within 1e-9 of a whole one.
 INTEGER_TOLERANCE = 1e-9
 
-WHITESPACE = " \\t\\r\\n\\f\\u000b"
+# Escapes that Spark SQL knows; it has none for form feed and reads \f as the letter.
+WHITESPACE = " \\t\\r\\n\\u000b\\u000c"
 NUMBER_SHAPE = r"^[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 WHOLE_SHAPE = r"^[+-]?[0-9]+$"
 

@@ -72,14 +72,22 @@ def value_frequencies(df: DataFrame, ordinals: Sequence[int], rough: frozenset[i
 
 
 def frequency_counts(values: DataFrame, with_text_rules: bool) -> DataFrame:
-    """F, for text with the number of boolean words and of parsed dates per listed format."""
-    aggregates = ["count(1) AS mult"]
-    if with_text_rules:
-        aggregates.append(f"count_if({tx.is_boolean_token('value')}) AS booleans")
-        for j in FORMATS:
-            date = tx.parsed_date("value", j)
-            aggregates += [f"count({date}) AS ok{j}", f"min({date}) AS lo{j}", f"max({date}) AS hi{j}"]
-    return _grouped(values, ["ordinal", "cnt"], aggregates)
+    """F(ordinal, cnt, reading, mult).
+
+    Every value counts once under reading -1. Text that parses as a date counts again under each
+    format that reads it, with the earliest and latest date; reading -1 also counts boolean words.
+    """
+    if not with_text_rules:
+        return values.groupBy("ordinal", "cnt").agg(F.expr("count(1) AS mult"))
+    dates = ", ".join(f"named_struct('reading', {j}, 'date', {tx.parsed_date('value', j)})" for j in FORMATS)
+    plain = "array(named_struct('reading', -1, 'date', CAST(NULL AS TIMESTAMP)))"
+    read = values.selectExpr(
+        "ordinal", "cnt", f"{tx.is_boolean_token('value')} AS word",
+        f"inline(CASE WHEN {tx.looks_like_date('value')} THEN concat({plain}, filter(array({dates}), d -> d.date IS NOT NULL)) "
+        f"ELSE {plain} END)")
+    return read.groupBy("ordinal", "cnt", "reading").agg(
+        F.expr("count(1) AS mult"), F.expr("count_if(word AND reading = -1) AS words"),
+        F.expr("min(date) AS earliest"), F.expr("max(date) AS latest"))
 
 
 def _grouped(df: DataFrame, keys: list[str], aggregates: list[str]) -> DataFrame:
@@ -88,39 +96,32 @@ def _grouped(df: DataFrame, keys: list[str], aggregates: list[str]) -> DataFrame
 
 
 def _column_stats(counts: DataFrame, with_text_rules: bool) -> DataFrame:
-    sized = counts.selectExpr("*", "sum(cnt * mult) OVER (PARTITION BY ordinal) AS n_present")
+    every = "reading = -1" if with_text_rules else "true"
+    sized = counts.selectExpr("*", f"sum(CASE WHEN {every} THEN cnt * mult END) OVER (PARTITION BY ordinal) AS n_present")
     share = "(cnt / n_present)"
-    aggregates = [
-        "first(n_present) AS n_present",
-        "sum(mult) AS n_unique",
-        f"max({share}) AS dominance",
-        f"sum(-mult * {share} * log2({share} + {LOG_FLOOR!r}D)) AS bits",
-    ]
-    if with_text_rules:
-        aggregates.append("sum(cnt * booleans) AS booleans")
-        for j in FORMATS:
-            aggregates += [f"sum(cnt * ok{j}) AS ok{j}", f"min(lo{j}) AS lo{j}", f"max(hi{j}) AS hi{j}"]
-    stats = _grouped(sized, ["ordinal"], aggregates)
-    boolean_share = rate = "CAST(NULL AS DOUBLE)"
-    low = high = "CAST(NULL AS TIMESTAMP)"
-    all_dates = "CAST(NULL AS BOOLEAN)"
+    keys = ["ordinal", "n_present", "reading"] if with_text_rules else ["ordinal", "n_present"]
+    aggregates = ["sum(mult) AS n_unique", f"max({share}) AS dominance",
+                  f"sum(-mult * {share} * log2({share} + {LOG_FLOOR!r}D)) AS bits"]
     if with_text_rules:
-        boolean_share = "booleans / n_present"
-        rates = [f"ok{j} / n_present" for j in FORMATS]
-
-        def first_winner(values: list[str], otherwise: str) -> str:
-            cases = " ".join(f"WHEN {r} >= {tx.DATE_SHARE}D THEN {v}" for r, v in zip(rates, values))
-            return f"CASE {cases} ELSE {otherwise} END"
-
-        rate = first_winner(rates, f"greatest({', '.join(rates)})")
-        all_dates = f"greatest({', '.join(f'ok{j}' for j in FORMATS)}) = n_present"
-        low, high = (first_winner([f"{edge}{j}" for j in FORMATS], "NULL") for edge in ("lo", "hi"))
-    return stats.selectExpr(
-        "ordinal", "n_unique", "dominance",
-        f"CASE WHEN n_unique > 1 THEN bits / (log2(n_unique) + {LOG_FLOOR!r}D) ELSE 0D END AS entropy",
-        f"{boolean_share} AS boolean_share", f"{rate} AS parse_rate",
-        f"{all_dates} AS all_dates", f"{low} AS parsed_min", f"{high} AS parsed_max",
-    )
+        aggregates += ["sum(cnt * words) / first(n_present) AS boolean_share", "sum(cnt * mult) / first(n_present) AS rate",
+                       "min(earliest) AS earliest", "max(latest) AS latest"]
+    stats = _grouped(sized, keys, aggregates)
+    entropy = f"CASE WHEN n_unique > 1 THEN bits / (log2(n_unique) + {LOG_FLOOR!r}D) ELSE 0D END AS entropy"
+    if not with_text_rules:
+        return stats.selectExpr(
+            "ordinal", "n_unique", "dominance", entropy, "CAST(NULL AS DOUBLE) AS boolean_share",
+            "CAST(NULL AS DOUBLE) AS parse_rate", "CAST(NULL AS BOOLEAN) AS all_dates",
+            "CAST(NULL AS TIMESTAMP) AS parsed_min", "CAST(NULL AS TIMESTAMP) AS parsed_max")
+    # At most one row per format is left: the first format that reads enough values wins.
+    wins = f"reading >= 0 AND rate >= {tx.DATE_SHARE}D"
+    whole = ", ".join(f"max({c}) FILTER (WHERE reading = -1) AS {c}" for c in ("n_unique", "dominance", "bits", "boolean_share"))
+    return _grouped(stats, ["ordinal"], [
+        whole,
+        f"min_by(struct(rate, earliest, latest), reading) FILTER (WHERE {wins}) AS won",
+        "max(rate) FILTER (WHERE reading >= 0) AS best",
+    ]).selectExpr(
+        "ordinal", "n_unique", "dominance", entropy, "boolean_share", "coalesce(won.rate, best, 0D) AS parse_rate",
+        "coalesce(best = 1D, false) AS all_dates", "won.earliest AS parsed_min", "won.latest AS parsed_max")
 
 
 def frequency_stats(df: DataFrame, ordinals: Sequence[int] | None = None, rough: frozenset[int] = frozenset()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions.scores import REJECTED_TYPES
+from tabscope.functions.values import reference, stripped
 
 FENCE = "```"
 
@@ -20,10 +21,10 @@ def parsed_suggestions(responses: DataFrame, column: str = "response") -> DataFr
     Status: ``ok``, ``no_json``, ``no_object``, ``bad_confidence`` (neither absent nor a number),
     ``no_target`` or ``bad_target`` (no string). Fields are NULL unless the status is ``ok``.
     """
-    text = F.expr(r"btrim(`" + column.replace("`", "``") + r"`, ' \t\r\n\f\u000b')")
+    text = F.expr(stripped(reference(column)))
     bare = F.when(
         text.startswith(FENCE),
-        F.expr(r"btrim(replace(replace(_text, '```json', ''), '```', ''), ' \t\r\n\f\u000b')")).otherwise(F.col("_text"))
+        F.expr(stripped("replace(replace(_text, '```json', ''), '```', '')"))).otherwise(F.col("_text"))
     whole = F.try_parse_json("_bare")
     inner = F.try_parse_json(F.regexp_extract("_bare", r"\{[^{}]*\}", 0))
     parsed = responses.withColumn("_text", text).withColumn("_bare", bare)
