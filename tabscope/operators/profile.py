@@ -271,7 +271,8 @@ def table_profile(prof: DataFrame) -> DataFrame:
     """One row for the table: size, columns as a map, key candidates and notes."""
     ordered = F.array_sort(F.collect_list(F.when(
         F.col("is_unique") & (F.col("missing_ratio") == 0), F.struct("ordinal", "column"))))
-    remarks = notes(prof).agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "note"))).alias("r"))
+    rank = F.expr("array_position(array('missing', 'constant', 'identifier'), kind) AS rank")
+    remarks = notes(prof).agg(F.array_sort(F.collect_list(F.struct("ordinal", rank, "note"))).alias("r"))
     details = [c for c in PROFILE_COLUMNS if c not in ("ordinal", "n_rows")]
     table = prof.agg(
         F.first("n_rows").alias("n_rows"),
