@@ -124,4 +124,5 @@ def test_decision_order(spark):
     ranks = ranking_scores(df)
     assert choose_by_ranking(ranks, "w", "v").first().target == "w"
     assert choose_by_ranking(ranks, "gone", "w").first().source == "suggestion"
-    assert choose_by_ranking(ranks).first().target == "v"
+    # v rises in 96 of 99 steps, which costs it the ranking: 0.19 against 0.67 for w.
+    assert choose_by_ranking(ranks).first().target == "w"
