@@ -365,7 +365,7 @@ def _linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = models.fit_one(models.REGRESSION, estimator, preparation.transform(data).select(models.LABEL, prep.FEATURES))
     final = models.Refit(models.REGRESSION, preparation, model)
     features = [c for c in df.columns if c != target]
-    return importance.permutation_drops(data, features, models.REGRESSION, final.predict)
+    return importance.explained(data, features, final)
 
 
 def _permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

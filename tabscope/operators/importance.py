@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.values import reference
 from tabscope.operators.metrics import regression_scores
-from tabscope.operators.models import LABEL, REGRESSION
+from tabscope.operators.models import LABEL, REGRESSION, Refit
 from tabscope.operators.order import numbered
 from tabscope.operators.sampling import permuted
 
 
 def permutation_drops(df: DataFrame, features: Sequence[str], task: str, predict: Callable[[DataFrame], DataFrame],
                       repeats: int = 5, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
-    """(feature_ordinal, feature, repeat, score, drop); ``df`` carries ``label`` and the raw features.
+    """(feature_ordinal, feature, repeat, score, drop); ``df`` carries ``label`` and the features.
 
     Rows are numbered once. Each repeat maps a row to a partner by a permutation of the numbers,
     all repeats share one equi-join on it (every number meets exactly ``repeats`` rows, so there
@@ -42,6 +42,21 @@ def permutation_drops(df: DataFrame, features: Sequence[str], task: str, predict
         (F.lit(baseline) - F.col("score")).alias("drop"))
 
 
+def explained(df: DataFrame, features: Sequence[str], final: Refit, repeats: int = 5, seed: int = 42,
+              key: Sequence[str] | None = None) -> DataFrame:
+    """Permutation drops of raw columns under a fitted model.
+
+    A raw value is encoded by itself, so shuffling a raw column and shuffling its encoded slot
+    are the same. Rows are therefore encoded once, before the join, and only assembled and
+    predicted per variant.
+    """
+    slots = [final.preparation.slots[c] for c in features]
+    encoded = final.preparation.encode(df).select(LABEL, *map(reference, key or []), *slots)
+    drops = permutation_drops(encoded, slots, final.task, final.predict_encoded, repeats, seed, key)
+    labels = F.array(*[F.lit(c) for c in features])
+    return drops.withColumn("feature", labels[F.col("feature_ordinal")])
+
+
 def _score(predictions: DataFrame, task: str, by: list[str]) -> DataFrame:
     if task == REGRESSION:
         return regression_scores(predictions, LABEL, "prediction", by).withColumnRenamed("r2", "score")

@@ -189,6 +189,9 @@ class Refit:
     def predict(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.preparation.transform(df))
 
+    def predict_encoded(self, encoded: DataFrame) -> DataFrame:
+        return self.model.transform(self.preparation.assemble(encoded))
+
 
 def refit(df: DataFrame, outcome: BakeOff, seed: int = 42, max_categories: int = 1000, sizes: ModelSizes = ModelSizes()) -> Refit:
     """Fit the winning candidate on all of ``df``, which carries ``label``."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,6 @@ from tabscope.functions.values import (
     as_double,
     is_missing,
     is_numeric_like,
-    positional,
     reference,
     rendered,
 )
@@ -139,27 +138,45 @@ def _imputation(df: DataFrame, numeric_fill: dict[str, float], text_fill: dict[s
     return numbers + texts
 
 
+def spreads(df: DataFrame, columns: Sequence[str], population: bool = True) -> dict[str, float]:
+    """Standard deviation of each column; 1 where it is constant or has no values."""
+    if not columns:
+        return {}
+    spread = "stddev_pop" if population else "stddev_samp"
+    row = df.agg(*[F.expr(f"coalesce(nullif({spread}({as_double(reference(c), df.schema[c].dataType)}), 0D), 1D) AS s{i}")
+                   for i, c in enumerate(columns)]).first()  # one row, one number per column
+    return dict(zip(columns, row))
+
+
 def scaled(df: DataFrame, columns: Sequence[str], population: bool = True) -> DataFrame:
     """Divide by the standard deviation without centring; a constant column is divided by 1."""
-    spread = "stddev_pop" if population else "stddev_samp"
-    stats = df.agg(*[F.expr(f"coalesce(nullif({spread}({as_double(reference(c), df.schema[c].dataType)}), 0D), 1D) AS s{i}")
-                     for i, c in enumerate(columns)])
-    values = stats.first()  # one row, one number per column
-    return df.withColumns({c: F.expr(f"{as_double(reference(c), df.schema[c].dataType)} / {values[i]!r}D")
-                           for i, c in enumerate(columns)})
+    by = spreads(df, columns, population)
+    return df.withColumns({c: F.expr(f"{as_double(reference(c), df.schema[c].dataType)} / {by[c]!r}D") for c in columns})
 
 
 @dataclass
 class Preparation:
-    """A fitted feature pipeline and what became of each column."""
+    """A fitted feature pipeline in two steps, and what became of each column.
+
+    ``encode`` turns every raw column into one slot column (a number or a one-hot vector), each
+    from its own raw value alone; ``assemble`` joins the slots into the feature vector.
+    """
 
-    model: PipelineModel
+    encoder: PipelineModel
+    assembler: VectorAssembler
     numeric: list[str]
     categorical: list[str]
+    slots: dict[str, str]
     skipped: dict[str, str] = field(default_factory=dict)
 
+    def encode(self, df: DataFrame) -> DataFrame:
+        return self.encoder.transform(df)
+
+    def assemble(self, encoded: DataFrame) -> DataFrame:
+        return self.assembler.transform(encoded)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df)
+        return self.assemble(self.encode(df))
 
 
 def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
@@ -174,30 +191,31 @@ def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Seque
     skipped = {c: "no values" for c in numeric if c not in number_fill}
     kept = _narrow_enough(train, categorical, max_categories, skipped)
     text_fill = modes(train, kept)
-    kept = [c for c in kept if c in text_fill]
     numeric = [c for c in numeric if c in number_fill]
     if not numeric and not kept:
         raise ValueError("no usable feature column")
-    slot = {c: f"_n{i}" for i, c in enumerate(numeric)} | {c: f"_k{i}" for i, c in enumerate(kept)}
-    filled = _imputation(train, number_fill, {c: text_fill[c] for c in kept}, slot.__getitem__)
+    number_slot = {c: f"_n{i}" for i, c in enumerate(numeric)}
+    text_slot = {c: f"_k{i}" for i, c in enumerate(kept)}
+    filled = _imputation(train, number_fill, {c: text_fill[c] for c in kept}, (number_slot | text_slot).__getitem__)
     stages: list[Transformer] = [SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")]
-    blocks = []
+    slots = dict(number_slot)
     if numeric:
-        stages += [VectorAssembler(inputCols=[slot[c] for c in numeric], outputCol="_numbers"),
-                   StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=False, withStd=True)]
-        blocks.append("_scaled")
+        # Spread of the imputed values, as the model sees them.
+        by = spreads(stages[0].transform(train), list(number_slot.values()))
+        scale = ", ".join(f"{slot} / {by[slot]!r}D AS _s{i}" for i, slot in enumerate(number_slot.values()))
+        stages.append(SQLTransformer(statement=f"SELECT *, {scale} FROM __THIS__"))
+        slots = {c: f"_s{i}" for i, c in enumerate(numeric)}
     if kept:
         indexed = [f"_i{i}" for i in range(len(kept))]
-        encoded = [f"_h{i}" for i in range(len(kept))]
+        slots |= {c: f"_h{i}" for i, c in enumerate(kept)}
         stages += [
             # The extra index for unseen values is the one the encoder drops.
-            StringIndexer(inputCols=[slot[c] for c in kept], outputCols=indexed, handleInvalid="keep",
+            StringIndexer(inputCols=list(text_slot.values()), outputCols=indexed, handleInvalid="keep",
                           stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True)]
-        blocks += encoded
-    stages.append(VectorAssembler(inputCols=blocks, outputCol=FEATURES))
-    model = Pipeline(stages=stages).fit(train)
-    return Preparation(model, list(numeric), kept, skipped)
+            OneHotEncoder(inputCols=indexed, outputCols=[slots[c] for c in kept], dropLast=True)]
+    encoder = Pipeline(stages=stages).fit(train)
+    assembler = VectorAssembler(inputCols=list(slots.values()), outputCol=FEATURES)
+    return Preparation(encoder, assembler, list(numeric), kept, slots, skipped)
 
 
 def _narrow_enough(train: DataFrame, columns: Sequence[str], limit: int, skipped: dict[str, str]) -> list[str]:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tabscope.operators.importance import importance, permutation_drops
+from tabscope.operators.importance import explained, importance
 from tabscope.operators.models import BakeOff, ModelSizes, Refit, bake_off, labelled, refit
 from tabscope.operators.prep import feature_columns, with_target
 
@@ -34,10 +34,10 @@ def train(df: DataFrame, target: str, task: str, seed: int = 42, test_size: floa
     outcome = bake_off(rows, target, task, numeric, categorical, seed, test_size, key, max_categories, sizes)
     if importance_on == "test":
         final = Refit(task, outcome.preparation, outcome.best.model)
-        explained = outcome.test
+        rows_seen = outcome.test
     else:
-        explained = labelled(rows, target, task)[0]
-        final = refit(explained, outcome, seed, max_categories, sizes)
-    features = [c for c in df.columns if c in final.preparation.numeric or c in final.preparation.categorical]
-    drops = permutation_drops(explained, features, task, final.predict, repeats, seed, key)
+        rows_seen = labelled(rows, target, task)[0]
+        final = refit(rows_seen, outcome, seed, max_categories, sizes)
+    features = [c for c in df.columns if c in final.preparation.slots]
+    drops = explained(rows_seen, features, final, repeats, seed, key)
     return Training(outcome, final, outcome.metrics, importance(drops), numeric, categorical, final.preparation.skipped)
