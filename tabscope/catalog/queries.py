@@ -362,7 +362,9 @@ def _linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric, categorical = prep.feature_columns(df, target)
     preparation = prep.fit_preparation(data, numeric, categorical)
     estimator = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
-    model = models.fit_one(models.REGRESSION, estimator, preparation.transform(data).select(models.LABEL, prep.FEATURES))
+    vectors = models.vectors_of(preparation, data).persist()
+    model = models.fit_one(models.REGRESSION, estimator, vectors)
+    vectors.unpersist()
     final = models.Refit(models.REGRESSION, preparation, model)
     features = [c for c in df.columns if c != target]
     return importance.explained(data, features, final)

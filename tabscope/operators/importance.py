@@ -12,6 +12,7 @@ from tabscope.operators.metrics import regression_scores
 from tabscope.operators.models import LABEL, REGRESSION, Refit
 from tabscope.operators.order import numbered
 from tabscope.operators.sampling import permuted
+from tabscope.session import spread
 
 
 def permutation_drops(df: DataFrame, features: Sequence[str], task: str, predict: Callable[[DataFrame], DataFrame],
@@ -25,7 +26,7 @@ def permutation_drops(df: DataFrame, features: Sequence[str], task: str, predict
     """
     names = {c: f"x{i}" for i, c in enumerate(features)}
     data = df.select(LABEL, *[F.col(reference(c)) for c in dict.fromkeys([*features, *(key or [])])])
-    rows = numbered(data, order_by=list(key or []))
+    rows = numbered(data, order_by=list(key)) if key else numbered(spread(data))
     n = rows.count()
     own = F.struct(*[F.col(reference(c)).alias(x) for c, x in names.items()])
     partners = ", ".join(f"named_struct('repeat', {r}, 'partner', {permuted('row_index', n, seed, r)})" for r in range(repeats))

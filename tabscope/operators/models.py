@@ -15,7 +15,7 @@ from tabscope.functions.values import as_double, reference, rendered
 from tabscope.operators.metrics import classification_scores, regression_scores
 from tabscope.operators.prep import FEATURES, Preparation, fit_preparation
 from tabscope.operators.sampling import class_weights, random_split, stratified_split
-from tabscope.session import shared_folder
+from tabscope.session import shared_folder, spread
 
 LABEL = "label"
 WEIGHT = "class_weight"
@@ -114,10 +114,7 @@ def vectors_of(preparation: Preparation, rows: DataFrame) -> DataFrame:
     """(label, features, held_back); a tenth is marked by a hash of the prepared feature columns."""
     used = ", ".join(rendered(reference(c), rows.schema[c].dataType) for c in preparation.numeric + preparation.categorical)
     held_back = F.expr(f"pmod(xxhash64({used}), 10) = 0").alias(HELD_BACK)
-    vectors = preparation.transform(rows).select(LABEL, FEATURES, held_back)
-    # A table of few files would leave most cores idle during the iterations.
-    slots = rows.sparkSession.sparkContext.defaultParallelism
-    return vectors if vectors.rdd.getNumPartitions() >= slots else vectors.repartition(slots)
+    return spread(preparation.transform(rows).select(LABEL, FEATURES, held_back))
 
 
 def fit_one(task: str, estimator: Estimator, vectors: DataFrame) -> Model:

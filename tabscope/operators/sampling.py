@@ -119,7 +119,7 @@ def permuted(index: str, n: int, seed: int, repeat: int) -> str:
     if n < 2:
         return f"CAST({index} AS BIGINT)"
     draw = random.Random(f"{seed}/{repeat}")
-    rounds = max(24, 3 * n.bit_length())
+    rounds = max(24, 2 * n.bit_length())
     keys = ", ".join(f"{draw.randrange(n)}L" for _ in range(rounds))
     mirror = f"((k + {n}L - x) % {n}L)"
     swap = f"(xxhash64({seed}, {repeat}, k, greatest(x, {mirror})) & 1L) = 1L"
