@@ -362,7 +362,7 @@ def _linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric, categorical = prep.feature_columns(df, target)
     preparation = prep.fit_preparation(data, numeric, categorical)
     estimator = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
-    vectors = models.vectors_of(preparation, data).persist()
+    vectors = models.vectors_of(preparation, data, data.count()).persist()
     model = models.fit_one(models.REGRESSION, estimator, vectors)
     vectors.unpersist()
     final = models.Refit(models.REGRESSION, preparation, model)

@@ -26,8 +26,8 @@ def permutation_drops(df: DataFrame, features: Sequence[str], task: str, predict
     """
     names = {c: f"x{i}" for i, c in enumerate(features)}
     data = df.select(LABEL, *[F.col(reference(c)) for c in dict.fromkeys([*features, *(key or [])])])
-    rows = numbered(data, order_by=list(key)) if key else numbered(spread(data))
-    n = rows.count()
+    n = data.count()
+    rows = numbered(data, order_by=list(key)) if key else numbered(spread(data, n))
     own = F.struct(*[F.col(reference(c)).alias(x) for c, x in names.items()])
     partners = ", ".join(f"named_struct('repeat', {r}, 'partner', {permuted('row_index', n, seed, r)})" for r in range(repeats))
     left = rows.select(LABEL, own.alias("own"), F.expr(f"inline(array({partners}))"))

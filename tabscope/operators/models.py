@@ -110,11 +110,11 @@ def weighted(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights), F.col(LABEL) == F.col("_label")).drop("_label")  # one row per class
 
 
-def vectors_of(preparation: Preparation, rows: DataFrame) -> DataFrame:
+def vectors_of(preparation: Preparation, rows: DataFrame, n_rows: int) -> DataFrame:
     """(label, features, held_back); a tenth is marked by a hash of the prepared feature columns."""
     used = ", ".join(rendered(reference(c), rows.schema[c].dataType) for c in preparation.numeric + preparation.categorical)
     held_back = F.expr(f"pmod(xxhash64({used}), 10) = 0").alias(HELD_BACK)
-    return spread(preparation.transform(rows).select(LABEL, FEATURES, held_back))
+    return spread(preparation.transform(rows).select(LABEL, FEATURES, held_back), n_rows)
 
 
 def fit_one(task: str, estimator: Estimator, vectors: DataFrame) -> Model:
@@ -148,9 +148,9 @@ def bake_off(df: DataFrame, target: str, task: str, numeric: list[str], categori
     split = split.persist()
     train, test = split.where("NOT is_test"), split.where("is_test")
     preparation = fit_preparation(train, numeric, categorical, max_categories)
-    train_vectors = vectors_of(preparation, train).persist()
-    test_vectors = vectors_of(preparation, test).persist()
-    n_train = train_vectors.count()
+    n_train = train.count()
+    train_vectors = vectors_of(preparation, train, n_train).persist()
+    test_vectors = vectors_of(preparation, test, n_train).persist()
     n_classes = len(indexer.labels) if indexer else 0
     fitted = []
     for ordinal, (name, estimator) in enumerate(candidates(task, n_train, n_classes, seed, sizes)):
@@ -193,9 +193,10 @@ class Refit:
 def refit(df: DataFrame, outcome: BakeOff, seed: int = 42, max_categories: int = 1000, sizes: ModelSizes = ModelSizes()) -> Refit:
     """Fit the winning candidate on all of ``df``, which carries ``label``."""
     preparation = fit_preparation(df, outcome.preparation.numeric, outcome.preparation.categorical, max_categories)
-    vectors = vectors_of(preparation, df).persist()
+    n_rows = df.count()
+    vectors = vectors_of(preparation, df, n_rows).persist()
     n_classes = len(outcome.labels.labels) if outcome.labels else 0
-    estimators = dict(candidates(outcome.task, vectors.count(), n_classes, seed, sizes))
+    estimators = dict(candidates(outcome.task, n_rows, n_classes, seed, sizes))
     model = fit_one(outcome.task, estimators[outcome.best.name], vectors)
     vectors.unpersist()
     return Refit(outcome.task, preparation, model)

@@ -33,7 +33,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table of few files that is about to be worked on row by row."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+# Tables of up to this many rows are cheap to shuffle for the sake of using all cores.
+SPREAD_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, n_rows: int) -> DataFrame:
+    """Give every core a share of a small table, which may come in one file; leave large ones as they are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if n_rows <= SPREAD_ROWS else df
