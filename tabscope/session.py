@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, and a temporary one only where it is unset."""
+    """Folder all executors can reach, as ``spark.checkpoint.dir`` names it.
+
+    Only where that is unset and driver and executors are one process (``local[n]``) a temporary folder
+    does; on a cluster its absence is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tabscope-")
         spark.sparkContext.setCheckpointDir(configured)
     elif not spark.sparkContext.getCheckpointDir():
