@@ -10,6 +10,7 @@ from tabscope.llm import (
     bpe,
     exact_dedup,
     minhash_forest,
+    personal_data,
     quality_classifier,
     quality_rules,
     source_mixing,
@@ -46,6 +47,13 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.chosen(read_documents(spark, sf_dir), **MIX)
 
 
+def op4_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.judged(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.selectExpr(
+        "carried AS doc_id", *(f"CAST(size(filter(base, z -> z.kind = '{k}')) AS BIGINT) AS n_{k}" for k in personal_data.PATTERNS),
+        f"sha2({personal_data.joined('base')}, 256) AS base_sha256", f"{personal_data.joined('spans')} AS spans")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     model = quality_classifier.train(docs, _labels(spark, sf_dir).where(LEARNED), "quality")
@@ -69,7 +77,7 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_minhash_forest, op3_source_mixing, op5_quality_classifier, op9_exact_dedup, op10_bpe_codec)}
+    op1_quality_rules, op2_minhash_forest, op3_source_mixing, op4_pii_sanitise, op5_quality_classifier, op9_exact_dedup, op10_bpe_codec)}
 
 
 def build() -> dict[str, Query]:
