@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabscope.llm import (
     bpe,
     exact_dedup,
+    licenses,
     minhash_forest,
     personal_data,
     quality_classifier,
     quality_rules,
+    secrets,
     source_mixing,
+    token_counts,
 )
 from tabscope.llm.common import read_documents
 from tabscope.llm.oracles import ORACLES
@@ -23,6 +27,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Folder of the public vocabularies; on a cluster, every machine's copy.
 TOKENIZERS = "/opt/tokenizers"
 
+# How the byte-level vocabulary splits text, and its free identifier.
+PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+END_OF_DOCUMENT = 50_256
+
 #: Labels that may be learned from: a fifth of the identifiers is held out.
 LEARNED = "pmod(crc32(CAST(doc_id AS STRING)), 5) <> 0"
 
@@ -61,6 +69,26 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", f"NOT ({LEARNED}) AS held_out", "score", f"CAST(score >= {quality_classifier.THRESHOLD}D AS INT) AS predicted")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(read_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PRE_SPLIT)
+    joined = "array_join(transform({}, z -> concat_ws(':', z.kind, z.start, z.end)), ',')"
+    return found.selectExpr(
+        "doc_id", *(f"CAST(size(filter(spans, z -> z.kind = '{k}')) AS BIGINT) AS n_{k}" for k in secrets.KINDS[:3]),
+        f"sha2({joined.format(f"filter(spans, z -> z.kind <> 'random')")}, 256) AS base_sha256", f"{joined.format('spans')} AS spans")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(read_documents(spark, sf_dir)).withColumns(
+        {c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, order = token_counts.write_token_files(
+        read_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PRE_SPLIT, END_OF_DOCUMENT)
+    counts = token_counts.counted(blocks, END_OF_DOCUMENT)
+    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(read_documents(spark, sf_dir))
 
@@ -77,7 +105,8 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_minhash_forest, op3_source_mixing, op4_pii_sanitise, op5_quality_classifier, op9_exact_dedup, op10_bpe_codec)}
+    op1_quality_rules, op2_minhash_forest, op3_source_mixing, op4_pii_sanitise, op5_quality_classifier,
+    op6_secret_scan, op7_license_scan, op8_token_counts, op9_exact_dedup, op10_bpe_codec)}
 
 
 def build() -> dict[str, Query]:
