@@ -5,20 +5,21 @@
 2. Each tree is a sorted order of labels. Classes that share the first ``DEPTH`` minimum hashes of a label form a region,
    and within it the following hashes keep those with the longest common prefix next to each other. Regions of one
    class, most of them, are dropped at once.
-3. First round: each class and its neighbours in the sorted orders are candidates, the best one of all trees for each
-   class. Confirmed links give components.
-4. Further rounds compare within each region only classes of different components. A dense region of near copies is
-   one component by then and costs a pass over its rows. The second round tries the best pair for each two
-   components that meet in a region, the last one all pairs whose sketches agree, with no cap.
-5. Components of all confirmed links by large and small stars.
-
-The depth adapts per region: the longest common prefix picks neighbours at whatever depth the region is split, and
-a region with more than a HEAVY_SHARE-th of all classes is dealt over several tasks: classes of its main component to
-one task each, the others, against which they have to be held, to all of them.
+3. Neighbours in the sorted orders, at whatever depth their longest common prefix lies, whose sketches agree join classes to
+   *neighbourhoods*; a second pass over the regions joins neighbourhoods in which any other rows agree. Both only draw
+   candidates together: every two sets that share a region and agree are in one neighbourhood.
+4. Links are confirmed within a neighbourhood, on the full sets: breadth first from each class, which is held against the ones
+   not reached yet, so a dense group of near copies is run through about once, and no pairs are ever emitted.
+5. A neighbourhood of more than ``PART`` shingles is dealt over several tasks. Each links its own rows; one class of the main
+   component of each part then meet; then all rows outside the neighbourhood's main component are held against every part.
+   Any two classes not linked by then include such a row, so no link is lost.
+6. Components of all confirmed links by large and small stars.
+
+A region with more than a HEAVY_SHARE-th of all rows is dealt over several tasks in the same way.
 
 Two sets at a Jaccard similarity of 0.8 share no region with probability (1 - 0.8^5)^32 = 3e-6, less at higher
-similarity; sketches of 128 bits let a pair of 0.8 go with probability 1e-8. No pair of two classes that pass is
-skipped unless links connect them already, and no pair is linked that the full sets do not confirm.
+similarity; sketches of 128 bits let a pair of 0.8 go with probability 1e-8. No pair that passes is skipped unless links
+connect its ends already, and no pair is linked that the full sets do not confirm.
 
 Defined cases: without words, or null, the set is empty and linked with nothing; with fewer words than a shingle, the
 sequence is the one shingle. A row without doc_id is linked with nothing and has no component. Rows that share a doc_id
@@ -44,6 +45,8 @@ SKETCH_WORDS = 2  # of 64 bits
 #: Sketch bits, of 128, in which two sets have to agree to be candidates at 0.8 or more: 5.6 deviations below the mean.
 AGREEING = 96
 LEAST_HEAVY = 20_000  # classes of a region that one task holds in any case
+#: Shingles of a part of a neighbourhood: 32 MB of hashes.
+PART = 4_000_000
 REMEMBERED = 1_000_000  # word hashes that a worker keeps
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -181,36 +184,23 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=[*names, "next", "agree"])
 
 
-def _pairs(best_only: bool):
-    """Candidates between the components of a region: the best pair for each two of them, or all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _table(batches):
-            starts = _runs(*(t[k] for k in _REGION))
-            for begin, end in zip(starts[:-1], starts[1:]):
-                comp = t["comp"][begin:end]
-                if comp.min() == comp.max():
-                    continue
-                order = np.argsort(comp, kind="stable") + begin
-                comp, ids, s0, s1 = (t[k][order] for k in ("comp", "id", "s0", "s1"))
-                sizes = _runs(comp)
-                main = int(np.argmax(np.diff(sizes)))
-                inside = np.zeros(len(comp), bool)
-                inside[sizes[main]:sizes[main + 1]] = True
-                for i in np.flatnonzero(~inside):  # rows of the main component are only looked up
-                    agree = _agreement(s0[i], s1[i], s0, s1)
-                    other = np.flatnonzero((agree >= AGREEING) & (comp != comp[i]) & (inside | (comp > comp[i])))
-                    if not len(other):
-                        continue
-                    if best_only:
-                        other = other[np.lexsort((-agree[other], comp[other]))]
-                        other = other[_runs(comp[other])[:-1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(ids[other], ids[i])), pa.array(np.maximum(ids[other], ids[i])),
-                         pa.array(np.minimum(comp[other], comp[i])), pa.array(np.maximum(comp[other], comp[i])),
-                         pa.array(agree[other])], names=["a", "b", "ca", "cb", "agree"])
-
-    return run
+def _joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One agreeing pair for each class of a region outside its main neighbourhood and each other neighbourhood."""
+    for t in _table(batches):
+        starts = _runs(*(t[k] for k in _REGION))
+        for begin, end in zip(starts[:-1], starts[1:]):
+            comp = t["comp"][begin:end]
+            if comp.min() == comp.max():
+                continue
+            order = np.argsort(comp, kind="stable") + begin
+            comp, ids, s0, s1 = (t[k][order] for k in ("comp", "id", "s0", "s1"))
+            sizes = _runs(comp)
+            main = int(np.argmax(np.diff(sizes)))
+            for i in (*range(sizes[main]), *range(sizes[main + 1], len(comp))):
+                other = np.flatnonzero((_agreement(s0[i], s1[i], s0, s1) >= AGREEING) & (comp != comp[i]))
+                if len(other):
+                    other = other[_runs(comp[other])[:-1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), ids[i])), pa.array(ids[other])], names=["a", "b"])
 
 
 def _by_region(rows: DataFrame, *further: str) -> DataFrame:
@@ -233,33 +223,114 @@ def _dealt(live: DataFrame, comps: DataFrame, n_rows: int) -> DataFrame:
     return rows.selectExpr("tree", "key", f"explode({parts}) AS part", "id", "comp", "s0", "s1")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The links among the pairs (a, b): 100 * shared >= least * all, on the full sets."""
-    one = sets.selectExpr("id AS a", "hashes AS ha")
-    two = sets.selectExpr("id AS b", "hashes AS hb")
-    shared = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").selectExpr(
-        "a", "b", "size(array_intersect(ha, hb)) AS s", "size(ha) + size(hb) AS n")
-    return shared.where(f"100 * s >= {int(least)} * (n - s)").select("a", "b")
-
-
 def _sets(docs: DataFrame, ids: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(id, hashes) of the documents that are candidates."""
+    """(id, n, s0, s1, hashes) of the documents with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd, offset = _multipliers()
         known = WordHashes()
         for batch in slices(batches, 1):
-            found = [shingle_hashes(value, width, known).view(np.int64) for value in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "hashes"])
+            found = [shingle_hashes(value, width, known) for value in batch.column(1).to_pylist()]
+            sketch = np.array([_labels(signature(h, odd, offset))[2] for h in found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]),
+                 pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["id", "n", "s0", "s1", "hashes"])
+
+    wanted = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    return wanted.mapInArrow(run, "id long, n long, s0 long, s1 long, hashes array<long>")
+
+
+class _Group:
+    """The sets of the rows of one part of a neighbourhood."""
+
+    def __init__(self, table: pa.Table):
+        lists = table["hashes"].combine_chunks()
+        self.values = lists.values.to_numpy().view(np.uint64)
+        self.offsets = lists.offsets.to_numpy()
+        self.ids, self.n = table["id"].to_numpy(), table["n"].to_numpy()
+        self.s0, self.s1 = (table[k].to_numpy().view(np.uint64) for k in ("s0", "s1"))
+
+    def linked(self, i: int, among: np.ndarray, least: int) -> np.ndarray:
+        """The rows of ``among`` that are linked with row i."""
+        n = self.n[i]
+        near = among[(_agreement(self.s0[i], self.s1[i], self.s0[among], self.s1[among]) >= AGREEING)
+                     & (100 * np.minimum(n, self.n[among]) >= least * np.maximum(n, self.n[among]))]
+        if not len(near):
+            return near
+        own = self.values[self.offsets[i]:self.offsets[i + 1]]
+        sizes = self.n[near]
+        ends = np.cumsum(sizes)
+        values = np.concatenate([self.values[self.offsets[j]:self.offsets[j + 1]] for j in near])
+        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        shared = np.add.reduceat(hit, ends - sizes, dtype=np.int64)
+        return near[100 * shared >= least * (n + sizes - shared)]
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _reached(least: int):
+    """Links that connect all rows of a group that links connect: breadth first, against the rows not reached yet."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group = _Group(table)
+        rest = np.argsort(group.ids, kind="stable")
+        a, b = [], []
+        while len(rest):
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                i = queue.pop()
+                found = group.linked(i, rest, least)
+                if len(found):
+                    a += [int(group.ids[i])] * len(found)
+                    b += group.ids[found].tolist()
+                    rest = rest[~np.isin(rest, found)]
+                    queue += found.tolist()
+        return _pairs(a, b)
+
+    return run
+
+
+def _sought(least: int):
+    """A link of each row outside the main component with each other component in the part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group, comp = _Group(table), table["comp"].to_numpy()
+        a, b = [], []
+        for i in np.flatnonzero(table["seeks"].to_numpy(zero_copy_only=False)):
+            found = group.linked(i, np.flatnonzero(comp != comp[i]), least)
+            for j in found[np.unique(comp[found], return_index=True)[1]]:
+                a.append(int(group.ids[i]))
+                b.append(int(group.ids[j]))
+        return _pairs(a, b)
+
+    return run
+
 
-    wanted = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(sized(ids), "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, hashes array<long>")
+def _links(sets: DataFrame, areas: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) that connect what links connect, from the sets and their neighbourhoods (id, component_id)."""
+    rows = sets.join(areas.selectExpr("id", "component_id AS area"), "id")
+    sizes = written(rows.groupBy("area").agg(F.expr(f"CAST(ceil(sum(n) / {PART}) AS INT)").alias("parts")))
+    dealt = rows.join(sized(sizes), "area").withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
+    links = written(dealt.groupBy("area", "part").applyInArrow(_reached(least), "a long, b long"))
+    large = sized(written(sizes.where("parts > 1").select("area")))
+    dealt = dealt.join(large, "area", "left_semi")
+    if dealt.isEmpty():
+        return links
 
+    def with_comp() -> DataFrame:
+        comps = written(components(links)).selectExpr("id", "component_id AS comp")
+        return dealt.join(comps, "id", "left").withColumn("comp", F.expr("coalesce(comp, id)"))
 
-def _with_sets(sets: DataFrame | None, pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """Add the sets of the pairs' ends that are not there yet."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    more = written(_sets(docs, written(ends.join(sets, "id", "left_anti") if sets else ends), text, doc_id, width))
-    return sets.unionByName(more) if sets else more
+    mains = with_comp().groupBy("area", "part", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"))
+    mains = mains.groupBy("area", "part").agg(F.max_by("id", F.struct("k", "id")).alias("id")).select("id")
+    links = written(links.unionByName(dealt.join(mains, "id", "left_semi").groupBy("area").applyInArrow(_reached(least), "a long, b long")))
+    rows = with_comp()
+    main = rows.groupBy("area", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("area").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    rows = rows.join(sized(written(main)), "area").withColumn("seeks", F.expr("comp <> main"))
+    rows = rows.withColumn("part", F.expr("explode(CASE WHEN seeks THEN sequence(0L, parts - 1L) ELSE array(part) END)"))
+    return links.unionByName(rows.groupBy("area", "part").applyInArrow(_sought(least), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5,
@@ -278,24 +349,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     live = written(_by_region(rows, "ord", "id").select("tree", "key", "part", "id", "s0", "s1").mapInArrow(
         _neighbours, "tree int, key long, id long, s0 long, s1 long, next long, agree long"))
 
-    near = live.where(f"agree >= {AGREEING}").selectExpr("id", "next", "agree")
-    near = near.unionByName(near.selectExpr("next AS id", "id AS next", "agree")).where("id <> next")
-    best = near.groupBy("id").agg(F.max_by("next", F.struct("agree", -F.col("next"))).alias("next"))
-    fresh = written(best.selectExpr("least(id, next) AS a", "greatest(id, next) AS b").distinct())
     n_rows = signed.count()
-    tried, sets, links = fresh, None, None
-    for best_only in (True, False, None):
-        sets = _with_sets(sets, fresh, docs, text, doc_id, width)
-        confirmed = _confirmed(fresh, sets, least)
-        links = written(links.unionByName(confirmed) if links else confirmed)
-        known = written(components(links))
-        if best_only is None:
-            break
-        found = _by_region(_dealt(live, known, n_rows)).mapInArrow(_pairs(best_only), "a long, b long, ca long, cb long, agree long")
-        if best_only:
-            found = found.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
-        fresh = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(fresh)
+    near = live.where(f"agree >= {AGREEING}").selectExpr("id AS a", "next AS b").distinct()
+    areas = written(components(near))
+    more = _by_region(_dealt(live, areas, n_rows)).mapInArrow(_joins, "a long, b long").distinct()
+    areas = written(components(areas.selectExpr("id AS a", "component_id AS b").unionByName(more)))
+    sets = written(_sets(docs, sized(areas.select("id")), text, doc_id, width))
+    known = components(_links(sets, areas, least))
 
     groups = whole.groupBy("digest").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("size"))
     groups = groups.join(known.selectExpr("id AS class", "component_id"), "class", "left")
