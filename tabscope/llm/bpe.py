@@ -39,70 +39,104 @@ from pyspark.sql import types as T
 
 from tabscope.llm.common import by_value, slices
 
-#: Words a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Chunks, words and transitions that a worker remembers, each, before it starts afresh.
+REMEMBERED = 300_000
 
 
 class TokenAutomaton:
-    """Deterministic automaton over tokens, compiled from the merges of a vocabulary."""
+    """Deterministic automaton over tokens, compiled from the merges of a vocabulary.
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], word_end: str = ""):
-        self.ids, self.word_end = vocabulary, word_end
+    ``tables`` is all of it in plain lists and dicts, for shipping it once to each worker.
+    """
+
+    def __init__(self, tables: dict):
+        self.tables = tables
+        self.labels, self._made, self._left, self._right = (tables[k] for k in ("labels", "made", "left", "right"))
+        self._closed, self._visited = tables["closed"], tables["visited"]
+        self._next, self._arc, self._last_arc = tables["next"], tables["arc"], tables["last_arc"]
+
+    @classmethod
+    def compiled(cls, vocabulary: dict[str, int], merges: list[tuple[str, str]], word_end: str = "") -> TokenAutomaton:
         size = max(vocabulary.values(), default=-1) + 1
-        self.labels = [""] * size
+        labels = [""] * size
         for label, i in vocabulary.items():
-            self.labels[i] = label
-        self._made = [-1] * size  # number of the merge that made the token
-        self._left, self._right = [-1] * size, [-1] * size
-        self._closed: dict[tuple[int, int], int] = {}  # (state, arc): number of the merge that closed it
-        self._table: dict[tuple[int, int], bool] = {}
-        self.arcs = set(vocabulary.values())
+            labels[i] = label
+        # made: number of the merge that made a token of left and right; closed: state and arc to the merge that closed it.
+        tables = {"labels": labels, "made": [-1] * size, "left": [-1] * size, "right": [-1] * size, "closed": {}, "visited": {},
+                  "next": {}, "arc": [-1], "last_arc": [-1]}
+        automaton = cls(tables)
         made = {left + right for left, right in merges}
         # Tokens of several symbols that no merge makes have no arc.
-        self.arcs -= {i for label, i in vocabulary.items()
-                      if label not in made and len(label.removesuffix(word_end) if word_end else label) > 1}
+        arcs = {i for label, i in vocabulary.items()
+                if label in made or len(label.removesuffix(word_end) if word_end else label) == 1}
         for number, (left, right) in enumerate(merges):
-            self._gadget(number, vocabulary[left], vocabulary[right], vocabulary[left + right])
-        self.longest = max((len(label.removesuffix(word_end)) for label, i in vocabulary.items() if i in self.arcs), default=1)
-
-    def _gadget(self, number: int, left: int, right: int, joined: int) -> None:
-        if left not in self.arcs or right not in self.arcs or not self._open(left, right):
-            self.arcs.discard(joined)  # no path reads the pair any more
+            automaton._gadget(number, vocabulary[left], vocabulary[right], vocabulary[left + right], arcs)
+        for i in arcs:
+            automaton._spell(i, word_end)
+        return automaton
+
+    def _gadget(self, number: int, left: int, right: int, joined: int, arcs: set[int]) -> None:
+        if left not in arcs or right not in arcs or not self._open(left, right):
+            arcs.discard(joined)  # no path reads the pair any more
             return
-        self._closed[left, right] = number
+        self._closed[left << 20 | right] = number
         self._made[joined], self._left[joined], self._right[joined] = number, left, right
 
+    def _spell(self, arc: int, word_end: str) -> None:
+        """Enter the arc's label into the tables that read symbols."""
+        label = self.labels[arc]
+        last = bool(word_end) and label.endswith(word_end)
+        node = 0
+        for symbol in label.removesuffix(word_end) if last else label:
+            key = node << 20 | ord(symbol)
+            if (after := self._next.get(key)) is None:
+                after = self._next[key] = len(self._arc)
+                self._arc.append(-1)
+                self._last_arc.append(-1)
+            node = after
+        (self._last_arc if last else self._arc)[node] = arc
+        if not word_end:
+            self._last_arc[node] = arc
+
     def _open(self, state: int, arc: int) -> bool:
-        closed, made, before = self._closed, self._made, math.inf
+        closed, made, left, right, before = self._closed, self._made, self._left, self._right, math.inf
         while state >= 0:
             part, until = arc, math.inf
             while part >= 0:
-                number = closed.get((state, part))
+                number = closed.get(state << 20 | part)
                 if number is not None and number < before and number <= until:
                     return False
-                part, until = self._left[part], made[part]
-            state, before = self._right[state], made[state]
+                part, until = left[part], made[part]
+            state, before = right[state], made[state]
         return True
 
     def step(self, state: int, arc: int) -> bool:
         """Whether the finished automaton has this arc out of the state."""
-        key = (state, arc)
-        if (known := self._table.get(key)) is None:
-            known = self._table[key] = self._open(state, arc)
+        key = state << 20 | arc
+        if (known := self._visited.get(key)) is None:
+            if len(self._visited) >= REMEMBERED:
+                self._visited.clear()
+            known = self._visited[key] = self._open(state, arc)
         return known
 
     def encode(self, word: str) -> list[int]:
         """Tokens of one word, given as a string of base symbols."""
-        n, ids, arcs = len(word), self.ids, self.arcs
-        state, start = [-1] * (n + 1), [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
-                label = word[begin:end]
-                arc = ids.get(label + self.word_end if end == n else label)
-                if arc is None or arc not in arcs or begin and (state[begin] < 0 or not self.step(state[begin], arc)):
-                    continue
-                state[end], start[end] = arc, begin
-                break
+        n, follow, step = len(word), self._next.get, self.step
+        codes = [ord(symbol) for symbol in word]
+        state, start = [-1] * (n + 1), [0] * (n + 1)
+        for begin in range(n):
+            before = state[begin]
+            if begin and before < 0:
+                continue
+            node = 0
+            for end in range(begin + 1, n + 1):
+                node = follow(node << 20 | codes[end - 1])
+                if node is None:
+                    break
+                if state[end] < 0:  # else its one accepted sequence is known
+                    arc = self._arc[node] if end < n else self._last_arc[node]
+                    if arc >= 0 and (not begin or step(before, arc)):
+                        state[end], start[end] = arc, begin
         if n and state[n] < 0:
             raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
         tokens = []
@@ -123,36 +157,57 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
+def compiled(path: str) -> dict:
+    """The tables of a vocabulary file with word ends."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    bpe, special = model["model"], {t["content"]: t["id"] for t in model["added_tokens"]}
+    pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in bpe["merges"]]
+    tables = TokenAutomaton.compiled(bpe["vocab"], pairs, bpe["end_of_word_suffix"] or "").tables
+    labels = tables["labels"]
+    labels += [""] * (max(special.values(), default=-1) + 1 - len(labels))
+    for label, i in special.items():
+        labels[i] = label
+    return tables | {"special": special, "split": model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], "path": path, "chunks": {}, "words": {}}
+
+
 class Codec:
-    """Encoder and decoder of a vocabulary file with word ends, one per worker."""
+    """Encoder and decoder over such tables. What it has seen stays in them, for the worker's next task."""
 
-    def __init__(self, path: str):
+    def __init__(self, tables: dict):
         import regex
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)
-        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        bpe = model["model"]
-        pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in bpe["merges"]]
-        self.automaton = TokenAutomaton(bpe["vocab"], pairs, bpe["end_of_word_suffix"] or "")
-        labels = self.automaton.labels
-        labels += [""] * (max(self.special.values(), default=-1) + 1 - len(labels))
-        for label, i in self.special.items():
-            labels[i] = label
-        tokenizer = Tokenizer.from_file(path)
-        self._normalise, self._split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+
+        self.automaton, self.special, self._path = TokenAutomaton(tables), tables["special"], tables["path"]
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self._words = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self._split = regex.compile(tables["split"]).findall
         self._plain = re.compile(r"[\t\n\r\x20-\x7E\xA0-\xFF]*").fullmatch
         self._symbols = byte_symbols()
-        self._known: dict[str, tuple[list[int], str]] = {}
+        self._chunks, self._words, self._library = tables["chunks"], tables["words"], None
+
+    def _word(self, symbols: str) -> tuple[list[int], str]:
+        if (known := self._words.get(symbols)) is None:
+            if len(self._words) >= REMEMBERED:
+                self._words.clear()
+            tokens = self.automaton.encode(symbols)
+            known = self._words[symbols] = tokens, self.automaton.decode(tokens)
+        return known
 
-    def _chunk(self, chunk: str, raw: bool) -> tuple[list[int], str]:
-        """Tokens and labels of a word or, if ``raw``, of the words between two spaces."""
-        words = ["".join([self._symbols[b] for b in w.encode()]) for w in self._words(chunk)] if raw else [chunk]
-        tokens = [i for w in words for i in self.automaton.encode(w)]
-        return tokens, self.automaton.decode(tokens)
+    def _chunk(self, chunk: str) -> tuple[list[int], str]:
+        """Tokens and labels of the words between two spaces."""
+        words = self._split(chunk)
+        if chunk.isascii():  # each character is its own symbol
+            found = [self._word(w) for w in words]
+        else:
+            found = [self._word("".join([self._symbols[b] for b in w.encode()])) for w in words]
+        return found[0] if len(found) == 1 else ([i for f in found for i in f[0]], " ".join([f[1] for f in found]))
+
+    def _others(self, text: str) -> list[str]:
+        """Words, as symbols, of any text, by the file's own normaliser and splitter."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))]
 
     def __call__(self, text: str | None) -> tuple[list[list[int]], list[str]]:
         """Tokens and decoded text, both in pieces of a word or more."""
@@ -163,17 +218,17 @@ class Codec:
                 tokens.append([self.special[part]])
                 labels.append(part)
                 continue
-            if raw := self._plain(part) is not None:
-                chunks, known = part.lower().split(), self._known
+            if self._plain(part) is None:
+                found = [self._word(w) for w in self._others(part)]
             else:
-                chunks, known = [w for w, _ in self._split(self._normalise(part))], {}
-            found = [known.get(c) for c in chunks]
-            for i, pair in enumerate(found):
-                if pair is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    chunk = chunks[i]
-                    found[i] = known[chunk] = known.get(chunk) or self._chunk(chunk, raw)
+                chunks, known = part.lower().split(), self._chunks
+                found = [known.get(c) for c in chunks]
+                for i, pair in enumerate(found):
+                    if pair is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        chunk = chunks[i]
+                        found[i] = known[chunk] = known.get(chunk) or self._chunk(chunk)
             tokens += [p[0] for p in found]
             labels += [p[1] for p in found]
         return tokens, labels
@@ -182,8 +237,10 @@ class Codec:
 def encoded(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) per row: the tokens of the whole text and what they decode to."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(compiled(path))  # some MB, by the vocabulary alone
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = Codec(shared.value)
         for batch in slices(batches, 1):
             ends, ids, texts = [0], [], []
             for value in batch.column(1).to_pylist():
