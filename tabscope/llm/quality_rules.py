@@ -163,6 +163,8 @@ def learn(stats: DataFrame, labels: DataFrame, label: str, precision: float = 0.
     names = {f: F.expr(sql) for f, sql in FEATURES.items()}
     rows = written(rows.select("*", *(c.alias(f) for f, c in names.items())).withColumn("prune", F.expr("pmod(xxhash64(doc_id), 3) = 0")))
     edges = _edges(rows)
+    if not any(edges.values()):
+        return []  # no labelled rows, or all alike: nothing to tell apart
     for f in FEATURES:
         values = ", ".join(f"{x!r}D" for x in edges[f])
         rows = rows.withColumn(f"b_{f}", F.expr(f"CAST(size(filter(array({values}), x -> x < {f})) AS INT)" if edges[f] else "0"))
