@@ -257,7 +257,7 @@ def _classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"))
+    rows = _read(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_extendedprice").alias(models.LABEL))
     vectors = VectorAssembler(inputCols=["l_quantity"], outputCol=prep.FEATURES).transform(rows)
     estimator: LinearRegression = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
     fit = estimator.fit(vectors)

@@ -17,9 +17,10 @@ from tabscope.operators.prep import FEATURES, Preparation, fit_preparation
 from tabscope.operators.sampling import class_weights, random_split, stratified_split
 from tabscope.session import shared_folder, spread
 
-LABEL = "label"
-WEIGHT = "class_weight"
-HELD_BACK = "held_back"
+# Reserved names, so that features called label, features and the like stay features.
+LABEL = "__model_label"
+WEIGHT = "__model_weight"
+HELD_BACK = "__model_held_back"
 EARLY_STOPPING_ROWS = 10_000
 REGRESSION, CLASSIFICATION = "regression", "classification"
 
@@ -123,7 +124,7 @@ def fit_one(task: str, estimator: Estimator, vectors: DataFrame) -> Model:
 
 
 def scored(task: str, predictions: DataFrame) -> dict[str, float]:
-    scores = regression_scores(predictions) if task == REGRESSION else classification_scores(predictions)
+    scores = (regression_scores if task == REGRESSION else classification_scores)(predictions, LABEL)
     return scores.first().asDict()  # one row
 
 

@@ -20,7 +20,7 @@ from tabscope.functions.values import (
 )
 from tabscope.operators.frequencies import frequency_stats, most_frequent, unpivoted
 
-FEATURES = "features"
+FEATURES = "__model_features"
 # Values of one column that may be put in order in one task when its median is taken.
 MEDIAN_WINDOW = 1_000_000
 SKETCH_ACCURACY = 10_000

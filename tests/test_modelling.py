@@ -117,7 +117,7 @@ def test_binary_early_stopping(spark):
 def linear_predictor(spark, data):
     fitted = prep.fit_preparation(data, ["x1", "x2"], ["k"])
     estimator = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
-    return models.Refit(models.REGRESSION, fitted, estimator.fit(fitted.transform(data).select("label", "features"))).predict
+    return models.Refit(models.REGRESSION, fitted, estimator.fit(fitted.transform(data).select(models.LABEL, prep.FEATURES))).predict
 
 
 def test_importance_of_a_line(spark, line):
@@ -143,7 +143,7 @@ def test_importance_against_brute_force(spark, line):
 
     drops = {(r.feature, r.repeat): r.drop for r in permutation_drops(data, ["k", "x1", "x2"], models.REGRESSION, predict, 2, key=["id"]).collect()}
     rows = data.orderBy("id").collect()
-    y = np.array([r.label for r in rows])
+    y = np.array([r[models.LABEL] for r in rows])
 
     def score(k, x1, x2):
         p = 2.5 * np.array(x1) + 0.1 * np.array(x2) + np.array([v == "k1" for v in k])
@@ -181,3 +181,9 @@ def test_job_arguments(spark, line):
         run(spark, df=line, strategy="manual", target="gone")
     with pytest.raises(ValueError, match="no suitable"):
         run(spark, df=spark.range(3).selectExpr("1 AS one"), strategy="heuristics")
+
+
+def test_a_feature_called_label_is_no_target(spark):
+    df = spark.range(300).selectExpr("id", "pmod(hash(id, 1), 100) AS label", "pmod(hash(id, 2), 100) AS features", "pmod(hash(id, 3), 100) * 1.0D AS y")
+    outcome = models.bake_off(df, "y", models.REGRESSION, ["label", "features"], [], sizes=SMALL)
+    assert max(f.scores["r2"] for f in outcome.candidates) < 0.5
