@@ -169,19 +169,20 @@ def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of regions with two or more classes, with the next class in the sorted order and the sketches' agreement."""
+    """Rows of regions with two or more classes, with the smallest class that agreeing neighbours in the sorted order lead to."""
     for t in _table(batches):
         starts = _runs(*(t[k] for k in _REGION))
         size = np.repeat(np.diff(starts), np.diff(starts))
         keep = np.flatnonzero(size > 1)
-        following = np.minimum(np.arange(len(size)) + 1, len(size) - 1)
-        last = np.zeros(len(size), bool)
-        last[starts[1:] - 1] = True
-        agree = np.where(last, -1, _agreement(t["s0"], t["s1"], t["s0"][following], t["s1"][following]))
+        breaks = np.zeros(len(size), bool)
+        breaks[1:] = _agreement(t["s0"][1:], t["s1"][1:], t["s0"][:-1], t["s1"][:-1]) < AGREEING
+        breaks[starts[:-1]] = True
+        runs = np.append(np.flatnonzero(breaks), len(size))
+        least = np.repeat(np.minimum.reduceat(t["id"], runs[:-1]), np.diff(runs))
         names = ["tree", "key", "id", "s0", "s1"]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(t[k][keep].view(np.int64) if k in ("s0", "s1") else t[k][keep]) for k in names] + [pa.array(t["id"][following][keep]), pa.array(agree[keep])],
-            names=[*names, "next", "agree"])
+            [pa.array(t[k][keep].view(np.int64) if k in ("s0", "s1") else t[k][keep]) for k in names] + [pa.array(least[keep])],
+            names=[*names, "least"])
 
 
 def _joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,19 +272,19 @@ def _pairs(a: list[int], b: list[int]) -> pa.Table:
 
 
 def _reached(least: int):
-    """Links that connect all rows of a group that links connect: breadth first, against the rows not reached yet."""
+    """Pairs of the first row and each other of those that links connect: breadth first, against the rows not reached yet."""
 
     def run(table: pa.Table) -> pa.Table:
         group = _Group(table)
         rest = np.argsort(group.ids, kind="stable")
         a, b = [], []
         while len(rest):
-            queue, rest = [rest[0]], rest[1:]
+            queue, first, rest = [rest[0]], int(group.ids[rest[0]]), rest[1:]
             while queue and len(rest):
                 i = queue.pop()
                 found = group.linked(i, rest, least)
                 if len(found):
-                    a += [int(group.ids[i])] * len(found)
+                    a += [first] * len(found)
                     b += group.ids[found].tolist()
                     rest = rest[~np.isin(rest, found)]
                     queue += found.tolist()
@@ -309,7 +310,7 @@ def _sought(least: int):
 
 
 def _links(sets: DataFrame, areas: DataFrame, least: int) -> DataFrame:
-    """Links (a, b) that connect what links connect, from the sets and their neighbourhoods (id, component_id)."""
+    """Pairs (a, b) that connect what links connect, from the sets and their neighbourhoods (id, component_id)."""
     rows = sets.join(areas.selectExpr("id", "component_id AS area"), "id")
     sizes = written(rows.groupBy("area").agg(F.expr(f"CAST(ceil(sum(n) / {PART}) AS INT)").alias("parts")))
     dealt = rows.join(sized(sizes), "area").withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
@@ -347,11 +348,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labels = classes.select("id", F.expr("f.s0 AS s0"), F.expr("f.s1 AS s1"), F.posexplode(F.expr("arrays_zip(f.keys, f.orders)")).alias("tree", "l"))
     rows = labels.selectExpr("tree", "l.keys AS key", "0 AS part", "id", "l.orders AS ord", "s0", "s1")
     live = written(_by_region(rows, "ord", "id").select("tree", "key", "part", "id", "s0", "s1").mapInArrow(
-        _neighbours, "tree int, key long, id long, s0 long, s1 long, next long, agree long"))
+        _neighbours, "tree int, key long, id long, s0 long, s1 long, least long"))
 
     n_rows = signed.count()
-    near = live.where(f"agree >= {AGREEING}").selectExpr("id AS a", "next AS b").distinct()
-    areas = written(components(near))
+    areas = written(components(live.where("least < id").selectExpr("id AS a", "least AS b")))
     more = _by_region(_dealt(live, areas, n_rows)).mapInArrow(_joins, "a long, b long").distinct()
     areas = written(components(areas.selectExpr("id AS a", "component_id AS b").unionByName(more)))
     sets = written(_sets(docs, sized(areas.select("id")), text, doc_id, width))
