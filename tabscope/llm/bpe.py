@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from tabscope.llm.common import by_value, slices
 
 #: Chunks, words and transitions that a worker remembers, each, before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 class TokenAutomaton:

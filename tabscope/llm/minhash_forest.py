@@ -47,7 +47,7 @@ AGREEING = 96
 LEAST_HEAVY = 20_000  # classes of a region that one task holds in any case
 #: Shingles of a part of a neighbourhood: 32 MB of hashes.
 PART = 4_000_000
-REMEMBERED = 1_000_000  # word hashes that a worker keeps
+REMEMBERED = 200_000  # word hashes that a worker keeps
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 

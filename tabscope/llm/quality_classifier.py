@@ -31,7 +31,7 @@ from tabscope.llm.common import by_value, written
 SLOTS = 1 << 20
 MAX_ROWS = 8_000
 THRESHOLD = 0.3
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 MARKS = """.,;:!?'\"()[]{}<>|#$%&*+-/=@\\^_`~"""
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -141,7 +141,7 @@ def fit(texts: list[str | None], labels: np.ndarray) -> tuple[np.ndarray, float,
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
         return np.zeros((2, SLOTS), np.float32), 0.0, 1.0, float(np.log(share / (1 - share)))
-    slots = [features(t, known) for t in texts]
+    slots = [features(t, known).astype(np.int32) for t in texts]
     held = np.zeros(len(labels), bool)
     for label in (0, 1):
         held[np.flatnonzero(labels == label)[::4]] = True
