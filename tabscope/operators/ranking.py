@@ -45,9 +45,9 @@ def ranking_scores(df: DataFrame, order_by: Sequence[str] | str | None = None, p
     numeric, categorical = F.col("kind") == "numeric", F.col("kind") == "categorical"
     stats = joined.withColumns({
         "monotonicity": F.when(numeric, mono),
-        # A column without values counts as fully dominated and without entropy.
-        "dominance": F.when(categorical, F.coalesce("dominance", F.lit(1.0))),
-        "entropy_norm": F.when(categorical, F.coalesce("entropy", F.lit(0.0)))})
+        # A column without values counts as fully dominated and without entropy; NULL says not computed (approximate profile).
+        "dominance": F.when(categorical, F.when(n_present > 0, F.col("dominance")).otherwise(1.0)),
+        "entropy_norm": F.when(categorical, F.when(n_present > 0, F.col("entropy")).otherwise(0.0))})
     scored = stats.withColumns({
         "regression_score": F.when(numeric, regression_score(
             F.col("std"), F.col("missing_ratio"), F.col("n_unique"), F.col("monotonicity"), F.col("n_rows"))),
