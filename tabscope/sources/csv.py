@@ -27,15 +27,27 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, na_tokens: list
     """CSV with a header; missing-value words become NULL and columns get the narrowest type that fits all values.
 
     Files with line breaks inside values can not be split among tasks, so that mode is used only
-    where it is needed: by default one scan looks for such values. Missing files raise.
+    where it is needed: by default one scan looks for such values. Missing files raise, and so do
+    records with a value beyond the header's last column (when read: at once with ``infer``); records
+    that end early are filled with NULL.
     """
     if multi_line is None:
         multi_line = has_multiline_values(spark, path)
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE")
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
+    raw = _without_surplus(spark, path, spark.read.csv(path, **options).columns, options)
     table = without_na_words(raw, na_tokens)
     return inferred(table) if infer else table
 
 
+def _without_surplus(spark: SparkSession, path: str, header: list[str], options: dict) -> DataFrame:
+    """The file's columns as text; the first one raises where a record has a value after the last."""
+    names = [f"c{i}" for i in range(len(header))]
+    cells = spark.read.csv(path, schema=", ".join(f"{c} string" for c in [*names, "surplus"]), **options)
+    message = f"a record has more than the {len(header)} fields of the header"
+    checked = F.when(F.col("surplus").isNotNull(), F.raise_error(F.lit(message)).cast("string")).otherwise(F.col("c0"))
+    return cells.select(checked.alias("c0"), *names[1:]).toDF(*header)
+
+
 def without_na_words(df: DataFrame, na_tokens: list[str] | None = None) -> DataFrame:
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     return df.select(*[F.when(~quoted(c).isin(tokens), quoted(c)).alias(c) for c in df.columns])

@@ -45,6 +45,12 @@ def test_untyped_and_own_words(spark, tmp_path):
     assert [r[0] for r in df.collect()] == [None, "NA"] and df.columns == ["a.b"]
 
 
+def test_surplus_fields_raise_and_short_records_are_filled(spark, tmp_path):
+    with pytest.raises(Exception, match="more than the 2 fields"):
+        read_csv(spark, write(tmp_path / "f.csv", "a,b\n1,2\n3,4,5\n"))
+    assert [tuple(r) for r in read_csv(spark, write(tmp_path / "g.csv", "a,b\n1,2\n3\n")).orderBy("a").collect()] == [(1, 2), (3, None)]
+
+
 def test_missing_sources(spark):
     with pytest.raises(AnalysisException):
         read_csv(spark, "/tmp/there-is-no-such-file.csv")
