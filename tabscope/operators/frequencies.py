@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from tabscope.functions import text as tx
 from tabscope.functions.scores import LOG_FLOOR
 from tabscope.functions.values import (
+    DIGEST_OVER,
     TEXTUAL,
     grouping_family,
     grouping_value,
@@ -65,6 +66,8 @@ def value_frequencies(df: DataFrame, ordinals: Sequence[int], rough: frozenset[i
     for i in ordinals:
         ref = f"c{i}"
         cells[i] = grouping_value(ref, fields[i].dataType)
+        if isinstance(fields[i].dataType, TEXTUAL):  # a digest does not show the word, so it is marked
+            cells[i] = f"CASE WHEN length({ref}) > {DIGEST_OVER} AND {tx.is_boolean_token(ref)} THEN concat({cells[i]}, '!') ELSE {cells[i]} END"
         if i in rough:
             telling = f"{tx.is_boolean_token(ref)} OR {tx.looks_like_date(ref)}"
             cells[i] = f"CASE WHEN {ref} IS NULL THEN NULL WHEN {telling} THEN {cells[i]} ELSE '' END"
@@ -82,7 +85,7 @@ def frequency_counts(values: DataFrame, with_text_rules: bool) -> DataFrame:
     dates = ", ".join(f"named_struct('reading', {j}, 'date', {tx.parsed_date('value', j)})" for j in FORMATS)
     plain = "array(named_struct('reading', -1, 'date', CAST(NULL AS TIMESTAMP)))"
     read = values.selectExpr(
-        "ordinal", "cnt", f"{tx.is_boolean_token('value')} AS word",
+        "ordinal", "cnt", f"({tx.is_boolean_token('value')} OR length(value) > {DIGEST_OVER} AND endswith(value, '!')) AS word",
         f"inline(CASE WHEN {tx.looks_like_date('value')} THEN concat({plain}, filter(array({dates}), d -> d.date IS NOT NULL)) "
         f"ELSE {plain} END)")
     return read.groupBy("ordinal", "cnt", "reading").agg(

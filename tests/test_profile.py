@@ -167,3 +167,9 @@ def test_sorted_and_preview(spark):
 def test_no_columns(spark):
     with pytest.raises(ValueError):
         profile(spark.range(1).select())
+
+
+def test_boolean_words_of_any_length(spark):
+    df = spark.createDataFrame([("yes" + " " * 70, "x" * 80), ("no" + " " * 70, "!" * 80), ("no", "z" * 80)], "flag string, other string")
+    kinds = {r["column"]: r.semantic_type for r in profile(df).collect()}
+    assert kinds["flag"] == "boolean" and kinds["other"] != "boolean"
