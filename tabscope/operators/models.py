@@ -20,8 +20,6 @@ from tabscope.session import shared_folder, spread
 # Reserved names, so that features called label, features and the like stay features.
 LABEL = "__model_label"
 WEIGHT = "__model_weight"
-HELD_BACK = "__model_held_back"
-EARLY_STOPPING_ROWS = 10_000
 REGRESSION, CLASSIFICATION = "regression", "classification"
 
 
@@ -63,12 +61,8 @@ class BakeOff:
 
 
 def candidates(task: str, n_train: int, n_classes: int = 0, seed: int = 42, sizes: ModelSizes = ModelSizes()) -> list[tuple[str, Estimator]]:
-    """Named estimators in the order in which ties are broken.
-
-    Above 10,000 rows boosting holds a tenth of them back and stops once they are fitted no better.
-    """
+    """Named estimators in the order in which ties are broken; each is fitted on all rows it is given."""
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
-    stop = {"validationIndicatorCol": HELD_BACK, "validationTol": 1e-7} if n_train > EARLY_STOPPING_ROWS and n_classes <= 2 else {}
     if task == REGRESSION:
         return [
             ("LinearRegression", LinearRegression(regParam=0.0, **common)),
@@ -77,11 +71,11 @@ def candidates(task: str, n_train: int, n_classes: int = 0, seed: int = 42, size
                 maxBins=sizes.tree_bins, maxMemoryInMB=1024, seed=seed, **common)),
             ("GBTRegressor", GBTRegressor(
                 maxIter=sizes.boosting_rounds, stepSize=sizes.boosting_rate, maxDepth=sizes.boosting_depth,
-                maxBins=sizes.boosting_bins, seed=seed, **stop, **common)),
+                maxBins=sizes.boosting_bins, seed=seed, **common)),
         ]
     boosted: Estimator = GBTClassifier(
         maxIter=sizes.boosting_rounds, stepSize=sizes.boosting_rate, maxDepth=sizes.boosting_depth,
-        maxBins=sizes.boosting_bins, seed=seed, **stop, **common)
+        maxBins=sizes.boosting_bins, seed=seed, **common)
     if n_classes > 2:
         boosted = OneVsRest(classifier=boosted, parallelism=min(n_classes, 4), **common)
     return [
@@ -111,11 +105,9 @@ def weighted(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights), F.col(LABEL) == F.col("_label")).drop("_label")  # one row per class
 
 
-def vectors_of(preparation: Preparation, rows: DataFrame, n_rows: int) -> DataFrame:
-    """(label, features, held_back); a tenth is marked by a hash of the prepared feature columns."""
-    used = ", ".join(rendered(reference(c), rows.schema[c].dataType) for c in preparation.numeric + preparation.categorical)
-    held_back = F.expr(f"pmod(xxhash64({used}), 10) = 0").alias(HELD_BACK)
-    return spread(preparation.transform(rows).select(LABEL, FEATURES, held_back), n_rows)
+def vectors_of(preparation: Preparation, rows: DataFrame) -> DataFrame:
+    """(label, features), dealt evenly for the iterative fits."""
+    return spread(preparation.transform(rows).select(LABEL, FEATURES))
 
 
 def fit_one(task: str, estimator: Estimator, vectors: DataFrame) -> Model:
@@ -150,8 +142,8 @@ def bake_off(df: DataFrame, target: str, task: str, numeric: list[str], categori
     train, test = split.where("NOT is_test"), split.where("is_test")
     preparation = fit_preparation(train, numeric, categorical, max_categories)
     n_train = train.count()
-    train_vectors = vectors_of(preparation, train, n_train).persist()
-    test_vectors = vectors_of(preparation, test, n_train).persist()
+    train_vectors = vectors_of(preparation, train).persist()
+    test_vectors = vectors_of(preparation, test).persist()
     n_classes = len(indexer.labels) if indexer else 0
     fitted = []
     for ordinal, (name, estimator) in enumerate(candidates(task, n_train, n_classes, seed, sizes)):
@@ -195,7 +187,7 @@ def refit(df: DataFrame, outcome: BakeOff, seed: int = 42, max_categories: int =
     """Fit the winning candidate on all of ``df``, which carries ``label``."""
     preparation = fit_preparation(df, outcome.preparation.numeric, outcome.preparation.categorical, max_categories)
     n_rows = df.count()
-    vectors = vectors_of(preparation, df, n_rows).persist()
+    vectors = vectors_of(preparation, df).persist()
     n_classes = len(outcome.labels.labels) if outcome.labels else 0
     estimators = dict(candidates(outcome.task, n_rows, n_classes, seed, sizes))
     model = fit_one(outcome.task, estimators[outcome.best.name], vectors)

@@ -73,8 +73,13 @@ def medians(df: DataFrame, columns: Sequence[str], window: int = MEDIAN_WINDOW)
     return _middles(df, {c: cells[c] for c in brackets}, brackets)
 
 
+def _number(value: float) -> str:
+    """SQL double; infinities and NaN have no plain literal."""
+    return f"{float(value)!r}D" if math.isfinite(value) else f"CAST('{float(value)!r}' AS DOUBLE)"
+
+
 def _inside(cell: str, b: _Bracket) -> str:
-    parts = [p for p, edge in ((f"{cell} >= {b.low!r}D", b.low), (f"{cell} <= {b.high!r}D", b.high)) if math.isfinite(edge)]
+    parts = [p for p, edge in ((f"{cell} >= {_number(b.low)}", b.low), (f"{cell} <= {_number(b.high)}", b.high)) if math.isfinite(edge)]
     return " AND ".join(parts) or "true"
 
 
@@ -90,7 +95,7 @@ def _narrowed(df: DataFrame, cells: dict[str, str], brackets: dict[str, _Bracket
     counts = []
     for i, c in enumerate(names):
         low, high = edges[c]
-        counts += [f"count_if({cells[c]} < {low!r}D) AS b{i}", f"count_if({cells[c]} BETWEEN {low!r}D AND {high!r}D) AS i{i}"]
+        counts += [f"count_if({cells[c]} < {_number(low)}) AS b{i}", f"count_if({cells[c]} BETWEEN {_number(low)} AND {_number(high)}) AS i{i}"]
     row = df.agg(*map(F.expr, counts)).first()
     out = {}
     for i, c in enumerate(names):
@@ -129,9 +134,10 @@ def imputed(df: DataFrame, numeric_fill: dict[str, float], text_fill: dict[str,
 
 def _imputation(df: DataFrame, numeric_fill: dict[str, float], text_fill: dict[str, str], name) -> list[str]:
     def literal(text: str) -> str:
-        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+        return "'" + escaped.replace("__THIS__", "__TH' 'IS__") + "'"  # a transformer's statement replaces that word
 
-    numbers = [f"coalesce({as_double(reference(c), df.schema[c].dataType)}, {float(v)!r}D) AS {name(c)}"
+    numbers = [f"coalesce({as_double(reference(c), df.schema[c].dataType)}, {_number(v)}) AS {name(c)}"
                for c, v in numeric_fill.items()]
     texts = [f"coalesce({rendered(reference(c), df.schema[c].dataType)}, {literal(v)}) AS {name(c)}"
              for c, v in text_fill.items()]
@@ -151,7 +157,7 @@ def spreads(df: DataFrame, columns: Sequence[str], population: bool = True) -> d
 def scaled(df: DataFrame, columns: Sequence[str], population: bool = True) -> DataFrame:
     """Divide by the standard deviation without centring; a constant column is divided by 1."""
     by = spreads(df, columns, population)
-    return df.withColumns({c: F.expr(f"{as_double(reference(c), df.schema[c].dataType)} / {by[c]!r}D") for c in columns})
+    return df.withColumns({c: F.expr(f"{as_double(reference(c), df.schema[c].dataType)} / {_number(by[c])}") for c in columns})
 
 
 @dataclass
@@ -183,13 +189,16 @@ def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Seque
                     max_categories: int = 1000) -> Preparation:
     """Median and mode imputation, scaling, one-hot encoding, one sparse vector: numbers first.
 
-    Columns without values are left out, and so are categorical columns with more than
-    ``max_categories`` values, since encoders keep every category on the driver; both are listed
-    in ``skipped``. Values unseen in training are encoded as all zeros.
+    Columns without values are left out and listed in ``skipped``. Encoders keep every category on
+    the driver, so the values of a categorical column with more than ``max_categories`` of them share
+    that many slots by a hash; no column is left out for its width. Values (or, there, hashes) unseen
+    in training are encoded as all zeros.
     """
     number_fill = medians(train, numeric)
     skipped = {c: "no values" for c in numeric if c not in number_fill}
-    kept = _narrow_enough(train, categorical, max_categories, skipped)
+    n_values = _category_counts(train, categorical)
+    skipped |= {c: "no values" for c in categorical if c not in n_values}
+    kept = [c for c in categorical if c in n_values]
     text_fill = modes(train, kept)
     numeric = [c for c in numeric if c in number_fill]
     if not numeric and not kept:
@@ -198,11 +207,16 @@ def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Seque
     text_slot = {c: f"_k{i}" for i, c in enumerate(kept)}
     filled = _imputation(train, number_fill, {c: text_fill[c] for c in kept}, (number_slot | text_slot).__getitem__)
     stages: list[Transformer] = [SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")]
+    wide = [c for c in kept if n_values[c] > max_categories]
+    if wide:
+        hashed = [f"CAST(pmod(xxhash64({text_slot[c]}), {max_categories}) AS STRING) AS {text_slot[c]}_h" for c in wide]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(hashed)} FROM __THIS__"))
+        text_slot |= {c: f"{text_slot[c]}_h" for c in wide}
     slots = dict(number_slot)
     if numeric:
         # Spread of the imputed values, as the model sees them.
         by = spreads(stages[0].transform(train), list(number_slot.values()))
-        scale = ", ".join(f"{slot} / {by[slot]!r}D AS _s{i}" for i, slot in enumerate(number_slot.values()))
+        scale = ", ".join(f"{slot} / {_number(by[slot])} AS _s{i}" for i, slot in enumerate(number_slot.values()))
         stages.append(SQLTransformer(statement=f"SELECT *, {scale} FROM __THIS__"))
         slots = {c: f"_s{i}" for i, c in enumerate(numeric)}
     if kept:
@@ -218,17 +232,9 @@ def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Seque
     return Preparation(encoder, assembler, list(numeric), kept, slots, skipped)
 
 
-def _narrow_enough(train: DataFrame, columns: Sequence[str], limit: int, skipped: dict[str, str]) -> list[str]:
+def _category_counts(train: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Number of values of each column that has any."""
     if not columns:
-        return []
+        return {}
     subset = train.select(*map(reference, columns))
-    counts = {columns[r.ordinal]: r.n_unique for r in frequency_stats(subset).select("ordinal", "n_unique").collect()}
-    kept = []
-    for c in columns:
-        if c not in counts:
-            skipped[c] = "no values"
-        elif counts[c] > limit:
-            skipped[c] = f"{counts[c]} categories"
-        else:
-            kept.append(c)
-    return kept
+    return {columns[r.ordinal]: r.n_unique for r in frequency_stats(subset).select("ordinal", "n_unique").collect()}

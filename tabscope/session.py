@@ -39,10 +39,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-# Tables of up to this many rows are cheap to shuffle for the sake of using all cores.
-SPREAD_ROWS = 1_000_000
-
-
-def spread(df: DataFrame, n_rows: int) -> DataFrame:
-    """Give every core a share of a small table, which may come in one file; leave large ones as they are."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if n_rows <= SPREAD_ROWS else df
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows evenly over ``spark.sql.shuffle.partitions``, however few files they come in; alike at every size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

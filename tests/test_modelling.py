@@ -50,11 +50,12 @@ def test_preparation(spark):
         [(1.0, True, "x", None, "u1"), (None, False, None, None, "u2"), (5.0, True, "x", None, "u3"), (3.0, None, "y", None, "u4")],
         "n double, b boolean, k string, void double, wide string")
     fitted = prep.fit_preparation(train_rows, ["n", "b", "void"], ["k", "wide"], max_categories=3)
-    assert (fitted.numeric, fitted.categorical) == (["n", "b"], ["k"])
-    assert fitted.skipped == {"void": "no values", "wide": "4 categories"}
+    assert (fitted.numeric, fitted.categorical) == (["n", "b"], ["k", "wide"])
+    assert fitted.skipped == {"void": "no values"}
     unseen = spark.createDataFrame([(None, None, "new", None, "u1"), (3.0, True, "y", None, "u1")], train_rows.schema)
     rows = [r.f for r in fitted.transform(unseen).select(vector_to_array(prep.FEATURES).alias("f")).collect()]
-    assert rows[0][2:] == [0.0, 0.0] and rows[1][2:] == [0.0, 1.0]
+    assert rows[0][2:4] == [0.0, 0.0] and rows[1][2:4] == [0.0, 1.0]
+    assert sum(rows[0][4:]) == 1 and len(rows[0]) <= 2 + 2 + 3  # the wide column shares three slots
     assert rows[0][0] == rows[1][0]  # the median is 3
 
 
@@ -107,9 +108,20 @@ def test_multiclass_training_and_test_importance(spark, line):
     assert {r.feature for r in out.importance.collect()} == {"id", "k", "x1", "x2"}
 
 
-def test_binary_early_stopping(spark):
+def test_infinite_values_and_odd_modes(spark):
+    df = spark.createDataFrame([(float("inf"), "__THIS__"), (float("inf"), "__THIS__"), (1.0, None)], "n double, k string")
+    fitted = prep.fit_preparation(df, ["n"], ["k"])
+    assert fitted.transform(df).select(prep.FEATURES).count() == 3
+    assert [r.k for r in prep.imputed(df, {"n": float("inf")}, {"k": "__THIS__"}).collect()] == ["__THIS__"] * 3
+
+
+def test_boosting_on_equal_features_takes_all_rows(spark):
+    df = spark.range(13000).selectExpr("1 AS x", "CAST(id % 2 AS INT) AS c")
+    models.bake_off(df, "c", models.CLASSIFICATION, ["x"], [], sizes=SMALL)
+
+
+def test_binary_boosting(spark):
     df = spark.range(13000).selectExpr("id AS x", "id % 2 AS noise", "CAST(id > 6000 AS INT) AS c")
-    assert "validationIndicatorCol" in str(dict(models.candidates(models.CLASSIFICATION, 10400, 2))["GBTClassifier"].explainParams())
     outcome = models.bake_off(df, "c", models.CLASSIFICATION, ["x", "noise"], [], sizes=SMALL)
     assert max(f.scores["accuracy"] for f in outcome.candidates) > 0.99
 
