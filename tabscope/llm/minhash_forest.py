@@ -11,8 +11,12 @@
 4. Links are confirmed within a neighbourhood, on the full sets: breadth first from each class, which is held against the ones
    not reached yet, so a dense group of near copies is run through about once, and no pairs are ever emitted.
 5. A neighbourhood of more than ``PART`` shingles is dealt over several tasks. Each links its own rows; one class of the main
-   component of each part then meet; then all rows outside the neighbourhood's main component are held against every part.
-   Any two classes not linked by then include such a row, so no link is lost.
+   component of each part then meet; any two classes not linked by then include a row outside the neighbourhood's main
+   component. Such rows are dealt in blocks of at most about ``PART`` shingles too, as are the rows of the main component, and
+   each block of them meets every block that can hold a link: of a set size within reach, and not both of *spent* rows. A row
+   is spent if shingles that no other row of the neighbourhood has take up its share of what two linked sets may differ in.
+   So a task holds two blocks whatever the neighbourhood's size, no link is lost, and texts of one template that are too
+   different to be linked for words of their own do not meet at all.
 6. Components of all confirmed links by large and small stars.
 
 A region with more than a HEAVY_SHARE-th of all rows is dealt over several tasks in the same way.
@@ -47,6 +51,8 @@ AGREEING = 96
 LEAST_HEAVY = 20_000  # classes of a region that one task holds in any case
 #: Shingles of a part of a neighbourhood: 32 MB of hashes.
 PART = 4_000_000
+#: Rows from which a task counts the shingles that one row alone has, before rows are compared.
+LEAST_COUNTED = 64
 REMEMBERED = 200_000  # word hashes that a worker keeps
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -250,11 +256,20 @@ class _Group:
         self.offsets = lists.offsets.to_numpy()
         self.ids, self.n = table["id"].to_numpy(), table["n"].to_numpy()
         self.s0, self.s1 = (table[k].to_numpy().view(np.uint64) for k in ("s0", "s1"))
+        self.alone = np.zeros(len(self.n), np.int64)  # shingles that no other row here has
+        if len(self.n) >= LEAST_COUNTED:
+            order = np.argsort(self.values, kind="stable")
+            starts = _runs(self.values[order])
+            row = np.repeat(np.arange(len(self.n)), np.diff(self.offsets))
+            once = starts[:-1][np.diff(starts) == 1]
+            self.alone = np.bincount(row[order[once]], minlength=len(self.n))
 
     def linked(self, i: int, among: np.ndarray, least: int) -> np.ndarray:
         """The rows of ``among`` that are linked with row i."""
         n = self.n[i]
-        near = among[(_agreement(self.s0[i], self.s1[i], self.s0[among], self.s1[among]) >= AGREEING)
+        # Linked sets differ in at most (100 - least) / (100 + least) of the sum of their sizes.
+        near = among[((100 + least) * (self.alone[i] + self.alone[among]) <= (100 - least) * (n + self.n[among]))
+                     & (_agreement(self.s0[i], self.s1[i], self.s0[among], self.s1[among]) >= AGREEING)
                      & (100 * np.minimum(n, self.n[among]) >= least * np.maximum(n, self.n[among]))]
         if not len(near):
             return near
@@ -294,13 +309,14 @@ def _reached(least: int):
 
 
 def _sought(least: int):
-    """A link of each row outside the main component with each other component in the part."""
+    """A link of each row of the left block with each other component in the right block."""
 
     def run(table: pa.Table) -> pa.Table:
         group, comp = _Group(table), table["comp"].to_numpy()
+        left, right = (np.flatnonzero(table[k].to_numpy(zero_copy_only=False)) for k in ("in_left", "in_right"))
         a, b = [], []
-        for i in np.flatnonzero(table["seeks"].to_numpy(zero_copy_only=False)):
-            found = group.linked(i, np.flatnonzero(comp != comp[i]), least)
+        for i in left:
+            found = group.linked(i, right[comp[right] != comp[i]], least)
             for j in found[np.unique(comp[found], return_index=True)[1]]:
                 a.append(int(group.ids[i]))
                 b.append(int(group.ids[j]))
@@ -309,6 +325,43 @@ def _sought(least: int):
     return run
 
 
+def _spent(rows: DataFrame, least: int) -> DataFrame:
+    """Add ``spent`` to rows (area, id, n, hashes, seeks); counted if the seeking rows of an area are more than a block.
+
+    Of two spent rows of an area none is linked with the other. Rows that cannot be linked with any row are dropped.
+    """
+    many = rows.where("seeks").groupBy("area").agg(F.sum("n").alias("n")).where(F.col("n") > PART).select("area")
+    many = written(many)
+    if many.isEmpty():
+        return rows.withColumn("spent", F.lit(False))
+    many = sized(many)
+    rows = rows.withColumn("row", F.expr("xxhash64(hashes)"))  # rows that share an id are told apart
+    held = rows.join(many, "area", "left_semi").select("area", "id", "row", F.explode("hashes").alias("h"))
+    once = held.groupBy("area", "h").agg(F.count(F.lit(1)).alias("k"), F.first(F.struct("id", "row")).alias("r")).where("k = 1")
+    alone = written(once.groupBy("area", "r.id", "r.row").agg(F.count(F.lit(1)).alias("alone")))
+    rows = rows.join(alone, ["area", "id", "row"], "left").withColumn("alone", F.expr("coalesce(alone, 0)"))
+    rows = rows.where(f"100 * alone <= {100 - least} * n").withColumn("spent", F.expr(f"{100 + least} * alone > {100 - least} * n"))
+    return rows.drop("row", "alone")
+
+
+def _blocks(rows: DataFrame, least: int) -> DataFrame:
+    """The rows by pairs of blocks (l, r) in which they may be linked; a pair holds two blocks, its left one of seeking rows."""
+    rows = _spent(rows.drop("part", "parts"), least).withColumn("size", F.expr("CAST(floor(ln(n) / ln(1.25D)) AS INT)"))  # links reach one size on
+    kind = ["area", "size", "spent", "seeks"]
+    kinds = written(rows.groupBy(kind).agg(F.expr(f"CAST(ceil(sum(n) / {PART}) AS INT)").alias("parts")))
+    block = F.expr("concat_ws(':', area, size, spent, seeks, block)")
+    rows = rows.join(sized(kinds), kind).withColumn("block", F.expr("CAST(pmod(xxhash64(id, 1), parts) AS INT)"))
+    rows = rows.withColumn("name", block)
+    blocks = kinds.withColumn("block", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("name", block)
+    pairs = blocks.alias("a").join(blocks.alias("b"), F.expr(
+        "a.area = b.area AND abs(a.size - b.size) <= 1 AND NOT (a.spent AND b.spent) AND a.seeks AND (NOT b.seeks OR a.name <= b.name)"))
+    pairs = pairs.selectExpr("a.name AS l", "b.name AS r")
+    ends = "explode(CASE WHEN l = r THEN array(struct(l AS name, true AS in_left, true AS in_right)) " \
+        "ELSE array(struct(l AS name, true AS in_left, false AS in_right), struct(r AS name, false AS in_left, true AS in_right)) END) AS e"
+    ends = sized(written(pairs.selectExpr("l", "r", ends).select("l", "r", "e.*")))
+    return rows.join(ends, "name").select("l", "r", "id", "n", "s0", "s1", "hashes", "comp", "in_left", "in_right")
+
+
 def _links(sets: DataFrame, areas: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) that connect what links connect, from the sets and their neighbourhoods (id, component_id)."""
     rows = sets.join(areas.selectExpr("id", "component_id AS area"), "id")
@@ -330,8 +383,7 @@ def _links(sets: DataFrame, areas: DataFrame, least: int) -> DataFrame:
     rows = with_comp()
     main = rows.groupBy("area", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("area").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
     rows = rows.join(sized(written(main)), "area").withColumn("seeks", F.expr("comp <> main"))
-    rows = rows.withColumn("part", F.expr("explode(CASE WHEN seeks THEN sequence(0L, parts - 1L) ELSE array(part) END)"))
-    return links.unionByName(rows.groupBy("area", "part").applyInArrow(_sought(least), "a long, b long"))
+    return links.unionByName(_blocks(rows, least).groupBy("l", "r").applyInArrow(_sought(least), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5,

@@ -83,6 +83,34 @@ def test_near(spark, rows, width, part, monkeypatch):
     assert got == components_of(rows, width)
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_near_unlinked_template(spark, own, monkeypatch):
+    """A neighbourhood of many parts without a main component: no task may get more than a few parts of it."""
+    draw = random.Random(8)
+    template = " ".join(f"t{n}" for n in range(100))
+    pool = [" ".join(f"p{n}x{k}" for k in range(10)) for n in range(20)]
+    made = [(i, " ".join([template, *([f"o{i}x{k}" for k in range(35)] if own else draw.sample(pool, 6))])) for i in range(120)]
+    made += [(200 + i, made[i][1] + " and more") for i in range(0, 120, 15)] + [(300, template)]
+    part, sought = 400, minhash_forest._sought
+
+    def bounded(least):
+        run = sought(least)
+
+        def checked(table):
+            n = sum(table["n"].to_pylist())
+            if n > 12 * part:
+                raise ValueError(f"a task of {n} shingles")
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(minhash_forest, "PART", part)
+    monkeypatch.setattr(minhash_forest, "_sought", bounded)
+    docs = table(spark, made)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(docs, width=2).collect()}
+    assert got == components_of(made, 2) and len({c for _, c in got.values()}) > 50
+
+
 def test_near_keeps_one(spark, rows):
     docs = table(spark, rows)
     left = minhash_forest.deduplicate(docs, width=5)
