@@ -3,8 +3,9 @@
 Patterns find assignments to names of secrets, access keys and long hexadecimal strings. The token-efficiency test holds
 every run of 16 or more characters of ``[A-Za-z0-9+/_-]``, with padding, against a tiktoken vocabulary: text that people write takes few
 tokens for its length, random strings take many. A run with fewer than ``CHARS_PER_TOKEN`` characters per token is a span
-``random``, unless it is a known digest (hexadecimal, of the length of a common digest), a UUID, a number or an identifier
-(words of letters in one of the usual spellings).
+``random``, unless it is a known digest (hexadecimal, of the length of a common digest), a UUID, or an identifier or number
+(words of letters and digits in one of the usual spellings) each word of which has as many characters per token by itself:
+its marks may cost tokens, its words may not. Keys of lower-case or upper-case letters or of digits alone are tested like others.
 
 Defined cases: a null text counts as empty and has no spans. Matches that fail their test are dropped without a second
 try. Rows that repeat a doc_id are judged each by its text. Texts are searched whole; an empty table gives an empty result;
@@ -38,6 +39,7 @@ _DIGEST = re.compile("[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Numbers, and words of letters, alone or joined by one kind of mark, with a number at the end at most.
 _IDENTIFIER = re.compile("[0-9/_=+-]+|[_/=+-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+))*[0-9]{0,4}[_/=+-]*|[A-Z]?[a-z]{3,}(?:[A-Z][a-z]{2,})*[0-9]{0,4}")
+_WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Scanner:
@@ -51,12 +53,16 @@ class Scanner:
         self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._random: dict[str, bool] = {}
 
+    def _inefficient(self, run: str) -> bool:
+        return len(run) < CHARS_PER_TOKEN * len(self._encode(run))
+
     def is_random(self, run: str) -> bool:
         if (known := self._random.get(run)) is None:
             if len(self._random) > 200_000:
                 self._random.clear()
-            exempt = (_IDENTIFIER.fullmatch(run) or _UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run))
-            known = self._random[run] = not exempt and len(run) < CHARS_PER_TOKEN * len(self._encode(run))
+            exempt = (_UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run)
+                      or _IDENTIFIER.fullmatch(run) and not any(map(self._inefficient, _WORDS.findall(run))))
+            known = self._random[run] = not exempt and self._inefficient(run)
         return known
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:

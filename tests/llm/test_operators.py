@@ -211,6 +211,14 @@ def test_scans(spark):
     assert labels == {0: ([], 0.0, None), 1: ([], 0.0, None), 2: ([], 0.0, None), 3: (["apache-2.0", "reserved"], 1.0, 8), 4: (["cc-by"], 0.5, 1)}
 
 
+def test_random_keys_of_one_case(spark):
+    keys = ["xkqzvjwhtrplmnbd", "QXZKVJWPTHRBNMLD", "KQZXJVWPTHRBNMLD0031", "XKQZ-VJWH-TRPL-MNBD"]
+    plain = ["someVeryLongFunctionName", "GETTING_STARTED_GUIDE", "to_be_or_no_is_it", "2024-01-01_12-30-00", "-" * 40, "internationalisation"]
+    docs = table(spark, list(enumerate(f"use {run} here" for run in keys + plain)))
+    found = {r.doc_id: [tuple(z) for z in r.spans] for r in secrets.scanned(docs, RANKS, queries.PRE_SPLIT).collect()}
+    assert found == {i: [("random", 4, 4 + len(run))] if run in keys else [] for i, run in enumerate(keys + plain)}
+
+
 def test_empty_tables(spark):
     docs, labels = table(spark, [(1, "x")]).where("doc_id < 0"), spark.createDataFrame([], "doc_id long, quality int")
     assert exact_dedup.decisions(docs).count() == minhash_forest.near_duplicates(docs).count() == 0
