@@ -7,13 +7,14 @@ stand beside it reveal it to the degree that they occur with it. Over the whole
 
 a term whose PMI reaches ``disclosure`` times the entity's information discloses it, that is if
 p(entity | term) >= p(entity) ** (1 - disclosure). Term and entity have to meet in ``least_together`` different texts, so that
-a chance meeting, or copies of one text, say nothing. A disclosing term is a span ``term`` in every text that has the entity:
+a chance meeting, or copies of one text, say nothing. A disclosing term is a span ``term`` wherever it stands, also in texts
+without the entity, where it alone discloses it:
 :func:`sanitised` generalises terms with digits to ``[number]`` and removes the others; entities become ``[kind]``.
 
 Positions come from the pieces between the matches, whose lengths are added up within the row in two levels, so that many
 matches in one long text stay cheap. What moves: the texts that have an entity of ``least_together`` texts or more, once, to
-fold copies; pairs of an entity and a term, folded before the shuffle; counts of the terms that are left. The terms of an
-entity never meet in one task, whatever share of the rows has it.
+fold copies; pairs of an entity and a term, folded before the shuffle; counts of the terms that are left; the disclosing
+terms of a row. All texts are kept in the checkpoint until then. The terms of an entity never meet in one task, whatever share of the rows has it.
 
 Defined cases: a null text counts as empty and has no spans. Matches that fail their test are dropped without a second try.
 Rows are told apart by position, not by doc_id, so rows that repeat one, or have none, are judged each by its text. Without
@@ -127,13 +128,11 @@ def _disclosing(docs: DataFrame, based: DataFrame, text: str, disclosure: float,
 
 
 def _term_spans(based: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(row, terms): per row with disclosing terms, their spans."""
-    held = based.where("size(spans) > 0").selectExpr(
-        "row", "t", "explode(array_distinct(transform(spans, z -> concat(z.kind, ':', z.value)))) AS entity")
-    held = held.join(sized(written(disclosing.select("entity").distinct())), "entity", "left_semi")
-    words = held.select("row", "entity", F.explode(F.expr(_terms("t"))).alias("term"))
+    """(row, terms): per row with disclosing terms, with or without an entity, their spans."""
+    terms = written(disclosing.select("term").distinct())
+    words = based.where(F.lit(not terms.isEmpty())).select("row", F.explode(F.expr(_terms("t"))).alias("term"))
     # A row's terms are words of its text, so the set is bounded by that.
-    told = words.join(disclosing, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("told"))
+    told = words.join(sized(terms), "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("told"))
     rows = based.join(sized(written(told)), "row").withColumn("_m", F.expr(f"regexp_extract_all(t, r'{_WORD}', 0)"))
     rows = rows.withColumn("_n", F.expr(_pieces("t", _WORD, "_m"))).withColumn("_s", F.expr(_sums("_n")))
     found = ("filter(transform(_m, (x, i) -> struct('term' AS kind, x AS value, _s[2 * i] AS start, _s[2 * i + 1] AS end)), "
@@ -156,8 +155,7 @@ def judged(docs: DataFrame, disclosure: float = 0.9, least_together: int = 3, te
     """
     rows = docs.select(F.expr(carried).alias("carried"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     based = base_spans(rows)
-    # Texts without entities are not needed again.
-    based = written(based if whole else based.withColumn("t", F.expr("CASE WHEN size(spans) > 0 THEN t END")))
+    based = written(based)
     terms = _term_spans(based, _disclosing(docs, based, text, disclosure, least_together))
     out = based.join(sized(written(terms)), "row", "left")
     return out.selectExpr("carried", *["t"] * whole, f"{_ordered('spans')} AS base",

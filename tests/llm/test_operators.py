@@ -171,6 +171,17 @@ def test_terms_that_disclose(spark):
     assert clean.where("doc_id = 0").head().text == "the Zanzibar0    writes from [email] today" and clean.where("doc_id = 99").head().text is None
 
 
+def test_terms_disclose_without_the_entity(spark):
+    rows = [(i, f"Quintus number {i} writes from a.b@c.org today") for i in range(6)]
+    rows += [(10, "today Quintus was here"), (11, "(QUINTUS) again 7 times"), (12, "Quintusses today")] + [(20 + i, f"the weather today is {i}") for i in range(300)]
+    docs = table(spark, rows)
+    spans = {r.carried: [(z.kind, z.value, z.start) for z in r.spans] for r in personal_data.judged(docs, disclosure=0.9).collect()}
+    assert spans[10] == [("term", "Quintus", 6)] and spans[11] == [("term", "(QUINTUS)", 0)] and spans[12] == []
+    assert ("term", "Quintus", 0) in spans[0] and not any(spans[20 + i] for i in range(300))
+    clean = {r.doc_id: r.text for r in personal_data.sanitised(docs).collect()}
+    assert clean[10] == "today  was here" and clean[11] == " again 7 times" and clean[12] == "Quintusses today"
+
+
 def test_mixing(spark, rows):
     docs = table(spark, rows)
     picks = source_mixing.chosen(docs.select("doc_id", "text", "lang", "source"), **queries.MIX).collect()
