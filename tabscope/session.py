@@ -42,3 +42,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly over ``spark.sql.shuffle.partitions``, however few files they come in; alike at every size."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own in the shared folder, once nothing reads it any more."""
+    if not path.startswith(f"{shared_folder(spark).rstrip('/')}/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
