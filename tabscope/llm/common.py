@@ -65,6 +65,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(groups.where(~heavy), key))
 
 
+class Remembered:
+    """A cache in two generations: bounded to twice ``most`` entries, and what is used stays.
+
+    When the younger generation is full it becomes the older one; entries found there move to the younger again.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about ``most`` bytes of text; one longer text makes a run of its own."""
     for batch in batches:
