@@ -47,4 +47,88 @@ SELECT doc_id, domain, language, origin, n_tokens, (whole + CASE WHEN rest > 0 A
        THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM placed"""
 
-ORACLES: dict[str, str] = {"op3_source_mixing": _MIX, "op9_exact_dedup": _EXACT}
+# The checksum bit by bit, a dynamic program over rows instead of spans, and roles told from their places in the result.
+_REPAIR = r"""
+WITH RECURSIVE told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+kinds AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+         lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)),
+         4294967295) % 20 AS kind FROM told),
+kept AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS r,
+         regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last FROM kept),
+faulty AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 THEN 'duplicate'
+         WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY r) AS before FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+reads(p, initial, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(p, q, n) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+edits AS (
+  SELECT p, NULL AS initial, p AS q, 4 AS cost, 'D' AS letter, 'any' AS fit FROM (VALUES (0), (1), (2), (3)) s(p)
+  UNION ALL SELECT p, initial, q, 0, 'K', 'own' FROM reads
+  UNION ALL SELECT p, NULL, q, 3, 'R', 'sound' FROM reads WHERE initial <> 's'),
+best AS (
+  SELECT conv_id, 0::BIGINT AS r, 0 AS state, {'cost': 0::BIGINT, 'audit': ''} AS cell FROM counts
+  UNION ALL
+  SELECT conv_id, r, state, cell FROM (
+    SELECT b.conv_id, f.r, e.q AS state, min({'cost': (b.cell.cost + 3 * i.n + e.cost + CASE WHEN f.fault = 'truncated' AND e.letter <> 'D' THEN 3 ELSE 0 END)::BIGINT,
+           'audit': b.cell.audit || repeat('I', i.n) || e.letter}) AS cell
+    FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.r = b.r + 1
+    JOIN inserts i ON i.p = b.state
+    JOIN edits e ON e.p = i.q AND (e.fit = 'any' OR f.fault NOT IN ('blank', 'duplicate') AND (e.fit = 'sound' OR e.initial = f.initial))
+    GROUP BY b.conv_id, f.r, e.q)),
+ended AS (
+  SELECT b.conv_id, min({'cost': (b.cell.cost + 3 * i.n)::BIGINT, 'audit': b.cell.audit || repeat('I', i.n)}) AS cell
+  FROM best b JOIN counts c ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.r = c.n JOIN inserts i ON i.p = b.state AND i.q IN (0, 3) GROUP BY b.conv_id),
+letters AS (SELECT conv_id, unnest(string_split(cell.audit, '')) AS letter, generate_subscripts(string_split(cell.audit, ''), 1) AS spot FROM ended WHERE cell.audit <> ''),
+numbered AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY spot) AS r FROM letters),
+left_over AS (
+  SELECT l.conv_id, l.spot, l.letter, f.role, f.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.spot) AS place,
+         first_value(CASE WHEN l.letter = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id ORDER BY l.spot) AS lead
+  FROM numbered l LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.r = l.r AND l.letter <> 'I' WHERE l.letter <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''),
+         chr(10) ORDER BY spot) AS text FROM left_over GROUP BY conv_id)
+SELECT i.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+       coalesce(c.illegal, 0) AS illegal, coalesce(e.cell.cost, 0) AS cost, coalesce(e.cell.audit, '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """All distances in every round, for equally long vectors."""
+    def nearest(book: str) -> str:
+        return f"""SELECT x.vec_id, x.part, min({{'d': x.xx - 2 * list_dot_product(x.x, c.x) + c.xx, 'entry': c.entry}}) AS best
+       FROM pieces x JOIN {book} c USING (part) GROUP BY x.vec_id, x.part"""
+
+    steps = [f"""whole AS (SELECT vec_id, label, list_transform(embedding, lambda z: floor(1024 * z::DOUBLE)) AS x FROM embeddings
+       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+pieces AS MATERIALIZED (SELECT vec_id, part, x, list_dot_product(x, x) AS xx FROM (
+       SELECT vec_id, part, list_slice(x, part * (len(x) // {parts}) + 1, (part + 1) * (len(x) // {parts})) AS x FROM whole, range({parts}) p(part))),
+book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x, xx FROM pieces
+       QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries})"""]
+    for i in range(rounds):
+        steps.append(f"""near{i} AS MATERIALIZED ({nearest(f"book{i}")}),
+means{i} AS (SELECT part, entry, list(z ORDER BY spot) AS x FROM (
+       SELECT n.part, n.best.entry AS entry, spot, floor(sum(p.x[spot]) / count(*)) AS z FROM near{i} n JOIN pieces p USING (vec_id, part), (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM pieces))) AS spot)
+       GROUP BY n.part, n.best.entry, spot) GROUP BY part, entry),
+book{i + 1} AS MATERIALIZED (SELECT part, entry, x, list_dot_product(x, x) AS xx FROM (
+       SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN means{i} m USING (part, entry)))""")
+    return f"""WITH {", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM ({nearest(f"book{rounds}")}) GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda z: z::BIGINT), ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN whole USING (vec_id)"""
+
+
+ORACLES: dict[str, str] = {"op3_source_mixing": _MIX, "op9_exact_dedup": _EXACT, "op12_conversation_repair": _REPAIR, "op13_vector_codes": _codes()}

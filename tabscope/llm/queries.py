@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabscope.llm import (
     bpe,
+    conversations,
     exact_dedup,
     licenses,
     minhash_forest,
@@ -18,6 +19,8 @@ from tabscope.llm import (
     secrets,
     source_mixing,
     token_counts,
+    toxicity,
+    vector_codes,
 )
 from tabscope.llm.common import read_documents
 from tabscope.llm.oracles import ORACLES
@@ -104,9 +107,28 @@ def encoded(docs: DataFrame) -> DataFrame:
         "sha2(decoded, 256) AS decoded_sha256")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, _labels(spark, sf_dir).where(LEARNED), "toxic")
+    return toxicity.scored(docs, model).selectExpr(
+        "doc_id", f"NOT ({LEARNED}) AS held_out", "score", f"CAST(score >= {toxicity.THRESHOLD}D AS INT) AS predicted")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repaired(rows, absent="absent", keep_lines=False)[0]
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books, _ = vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_minhash_forest, op3_source_mixing, op4_pii_sanitise, op5_quality_classifier,
-    op6_secret_scan, op7_license_scan, op8_token_counts, op9_exact_dedup, op10_bpe_codec)}
+    op6_secret_scan, op7_license_scan, op8_token_counts, op9_exact_dedup, op10_bpe_codec, op11_toxicity, op12_conversation_repair,
+    op13_vector_codes)}
 
 
 def build() -> dict[str, Query]:
