@@ -24,8 +24,10 @@ result; a column of ``docs`` with the name of the score must not be there (an er
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from tabscope.llm.common import Remembered, by_value, slices, written
 
 #: Labelled rows that lexicons are induced from, rows and indicators that the classifier is fitted on, entries of the lexicons.
 MAX_LABELLED, MAX_ROWS, MAX_SLOTS, MAX_STEMS = 20_000, 8_000, 8_000_000, 2_000
-THRESHOLD = 0.5
+THRESHOLD, PENALTY = 0.5, 3.0
 SLOTS, STEMS, WORDS_KEPT = 1 << 20, (4, 5, 6), 100_000
 FAMILIES, POOLS, ROUNDS, SCALE = 24, 6, 8, 1 << 16
 
@@ -56,7 +58,7 @@ PATTERNS = {
     "violence": (("kill", "hurt", "beat", "burn", "shoot", "hang"), r"\b(?:kill|hurt|beat|burn|shoot|hang) (?:you|yourself|him|her|them)\b"),
     "dismissal": (("shut", "hell", "lost", "drop"), r"\bshut up\b|\bgo to hell\b|\bget lost\b|\bdrop dead\b"),
     "hatred": (("hate", "despise", "loathe"), r"\b(?:hate|despise|loathe) (?:you|him|her|them|those|these)\b"),
-    "masked": ((), r"[A-Za-z][*@#$]{2,}[A-Za-z]"),
+    "masked": ((), r"[*@#$](?<=[A-Za-z].)[*@#$]+[A-Za-z]"),
     "shouting": ((), r"[A-Z]{4,}\W+[A-Z]{4,}\W+[A-Z]{4,}"),
 }
 
@@ -72,6 +74,18 @@ def stems_of(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in STEMS if len(word) >= n)]
 
 
+class Lookup:
+    """What is known of words by them and their beginnings. Most words end at the first test, of their first letters."""
+
+    def __init__(self, values: dict):
+        self._values, self._firsts = values, {stem.rstrip("$")[:STEMS[0]] for stem in values}
+
+    def __call__(self, words: set[str]) -> set[str]:
+        """The known stems of the words."""
+        firsts, values, n = self._firsts, self._values, STEMS[0]
+        return {s for word in words if word[:n] in firsts for s in stems_of(word) if s in values}
+
+
 class Voters:
     """Bit masks of the voters that fire on a text."""
 
@@ -82,40 +96,37 @@ class Voters:
         for bit, stems in enumerate(lexicons):
             for stem in stems:
                 self._bits[stem] = self._bits.get(stem, 0) | 1 << bit
+        self._stems = Lookup(self._bits)
         self._patterns = [(1 << len(lexicons) + i, gate, re.compile(pattern).search) for i, (gate, pattern) in enumerate(PATTERNS.values())]
         self._outcry = 1 << self.size - 1
-        self._known = Remembered(WORDS_KEPT)
-
-    def _word(self, word: str) -> int:
-        if (bits := self._known.get(word)) is None:
-            bits = 0
-            for stem in stems_of(word):
-                bits |= self._bits.get(stem, 0)
-            self._known.put(word, bits)
-        return bits
 
     def __call__(self, text: str | None, words: set[str]) -> int:
         fired = 0
-        for word in words:
-            fired |= self._word(word)
+        for stem in self._stems(words):
+            fired |= self._bits[stem]
         if text:
             for bit, gate, search in self._patterns:
-                if (any(w in words for w in gate) and search(text.lower())) if gate else search(text):
+                if (not words.isdisjoint(gate) and search(text.lower())) if gate else search(text):
                     fired |= bit
             if "!!!" in text:
                 fired |= self._outcry
         return fired
 
 
+def slot_of(stem: str) -> int:
+    """The first 64 numbers are votes."""
+    return 64 + xxhash.xxh64_intdigest(stem) % (SLOTS - 64)
+
+
 def slots_of(words: set[str], fired: int, known: Remembered) -> np.ndarray:
-    """Numbers of the indicators of a text: 64 of votes, then hashed words and beginnings."""
-    found = [np.array([b for b in range(fired.bit_length()) if fired >> b & 1], np.int64)]
+    """Numbers of the indicators of a text: votes, then hashed words and beginnings."""
+    found = [b for b in range(fired.bit_length()) if fired >> b & 1]
     for word in words:
         if (slots := known.get(word)) is None:
-            slots = np.array([64 + xxhash.xxh64_intdigest(s) % (SLOTS - 64) for s in stems_of(word)], np.int64)
+            slots = [slot_of(s) for s in stems_of(word)]
             known.put(word, slots)
-        found.append(slots)
-    return np.unique(np.concatenate(found))
+        found += slots
+    return np.unique(np.array(found, np.int64))
 
 
 def _bits(masks: np.ndarray, size: int) -> np.ndarray:
@@ -224,17 +235,17 @@ def label_model(docs: DataFrame, known: DataFrame, voters: Voters, rounds: int =
     """Fit over the votes of all documents; ``docs`` has (_id, text), ``known`` (_id, _y)."""
     size = voters.size
 
-    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int], int] = {}
-        for batch in slices(batches, 1):
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key = voters(text, words_of(text)), -1 if y is None else y
-                counts[key] = counts.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["fired", "y", "n"])
+    @F.arrow_udf("long")
+    def cast(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            fired = np.empty(len(texts), np.int64)
+            for i, value in enumerate(texts):
+                value = value.as_py()
+                fired[i] = voters(value, words_of(value))
+            yield pa.array(fired)
 
-    rows = docs.join(known, "_id", "left").select("_y", "text").mapInArrow(cast, "fired long, y int, n long")
-    votes = written(rows.groupBy("fired", "y").agg(F.sum("n").alias("n")))
+    rows = docs.select("_id", cast("text").alias("fired"))  # labels meet votes, not texts
+    votes = written(rows.join(known, "_id", "left").groupBy("fired", F.coalesce("_y", F.lit(-1)).alias("y")).agg(F.count("*").alias("n")))
     model = LabelModel.first(size, share)
 
     for number in range(rounds):
@@ -252,18 +263,18 @@ def label_model(docs: DataFrame, known: DataFrame, voters: Voters, rounds: int =
                 for k, w in enumerate((n * SCALE - weight, weight)):
                     pairs[k] += bits.T @ (bits * w[:, None])
                     totals[k] += w.sum()
-            flat = np.concatenate([pairs.ravel(), totals])
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at], pa.int64())], ["at", "value"])
-
-        sums = votes.mapInArrow(weigh, "at long, value long").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        flat = np.zeros(2 * size * size + 2)
-        for row in sums:
-            flat[row.at] = row.value / SCALE
-        totals = flat[-2:]
+            sums = np.concatenate([pairs.reshape(2 * size, size), np.repeat(totals[:, None], size, 1)])
+            at = np.flatnonzero(sums.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at].tolist(), pa.list_(pa.int64()))], ["at", "sums"])
+
+        told = votes.mapInArrow(weigh, "at int, sums array<long>").groupBy("at").agg(*(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(size)))
+        sums = np.zeros((2 * size + 2, size))
+        for row in told.collect():
+            sums[row.at] = np.array(row[1:], "f8") / SCALE
+        pairs, totals = sums[:-2].reshape(2, size, size), sums[-2:, 0]
         if totals.sum() == 0:
             continue  # no labelled rows, or no rows
-        new = LabelModel.fitted(flat[:-2].reshape(2, size, size), totals)
+        new = LabelModel.fitted(pairs, totals)
         still = np.array_equal(new.parent, model.parent) and np.abs(new.fires - model.fires).max() < 1e-4 and abs(new.share - model.share) < 1e-4
         model = new
         if still:
@@ -271,7 +282,7 @@ def label_model(docs: DataFrame, known: DataFrame, voters: Voters, rounds: int =
     return model
 
 
-def fit(slots: list[np.ndarray], target: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(slots: list[np.ndarray], target: np.ndarray, penalty: float = PENALTY, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """(slots with weight, weights, intercept) of the L1 logistic regression on soft targets."""
     share = float(np.clip(target.mean() if len(target) else 0.1, 1e-4, 0.9999))
     base = float(np.log(share / (1 - share)))
@@ -311,12 +322,18 @@ def fit(slots: list[np.ndarray], target: np.ndarray, penalty: float = 1.0, round
     return active[w != 0], w[w != 0], float(b)
 
 
-Model = tuple[list[list[str]], np.ndarray, np.ndarray, float]
+class Model(NamedTuple):
+    """Induced lexicons, weights of votes and of stems, intercept."""
+
+    lexicons: list[list[str]]
+    votes: list[float]
+    stems: dict[str, float]
+    intercept: float
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id",
           max_rows: int = MAX_ROWS, max_slots: int = MAX_SLOTS) -> Model:
-    """(lexicons, slots, weights, intercept); ``labels`` has ``doc_id`` and ``label``, and only rows that may be learned from."""
+    """Fit all three steps; ``labels`` has ``doc_id`` and ``label``, and only rows that may be learned from."""
     given = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     known = written(_labelled(labels, label, doc_id))
     lexicons = induced(given, known)
@@ -348,39 +365,42 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         yield pa.RecordBatch.from_arrays(
             [pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([b])], ["at", "w", "b"])
 
-    # The rows of the lowest hashes of id and text; a hash is looked up before any text becomes indicators.
+    # The rows of the lowest hashes of id and text.
     hashed = given.select(F.xxhash64("_id", "text").alias("at"), "text")
-    lowest = written(hashed.select("at").orderBy("at").limit(max_rows))
-    edge = lowest.agg(F.max("at")).head()[0]
+    edge = hashed.select("at").orderBy("at").limit(max_rows).agg(F.max("at")).head()[0]
     if edge is None:
-        return lexicons, np.empty(0, np.int64), np.empty(0), 0.0
-    rows = hashed.where(F.col("at") <= edge).dropDuplicates(["at"]).mapInArrow(indicators, "at long, target double, slots array<int>")
-    learned = written(written(rows).coalesce(1).sortWithinPartitions("at").mapInArrow(learn, "at array<long>, w array<double>, b double")).head()
-    return lexicons, np.array(learned.at, np.int64), np.array(learned.w), learned.b
+        return Model(lexicons, [0.0] * 64, {}, 0.0)
+    sample = written(hashed.where(F.col("at") <= edge).dropDuplicates(["at"]))
+    rows = written(sample.mapInArrow(indicators, "at long, target double, slots array<int>"))
+    learned = written(rows.coalesce(1).sortWithinPartitions("at").mapInArrow(learn, "at array<long>, w array<double>, b double")).head()
+    weight = dict(zip(learned.at, learned.w))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for batch in slices(batches):
+            for value in batch.column(0).to_pylist():
+                found |= {s for word in words_of(value) for s in stems_of(word) if slot_of(s) in weight}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["stem"])
+
+    stems = [r.stem for r in sample.select("text").mapInArrow(named, "stem string").distinct().collect()]  # of the sample, so bounded
+    return Model(lexicons, [weight.get(v, 0.0) for v in range(64)], {s: weight[slot_of(s)] for s in sorted(stems)}, learned.b)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 per row, in the new column ``name``."""
     if name in docs.columns:
         raise ValueError(f"there is a column {name} already")
-    lexicons, at, w, b = model
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        voters, weight, cache = Voters(lexicons), dict(zip(at.tolist(), w.tolist())), Remembered(WORDS_KEPT)
+        voters, lookup, weight = Voters(model.lexicons), Lookup(model.stems), model.stems
         for texts in batches:
             margins = np.empty(len(texts))
             for i, value in enumerate(texts):  # one text at a time becomes a Python string
                 value = value.as_py()
-                words, slots = words_of(value), set()
-                for word in words:
-                    if (found := cache.get(word)) is None:
-                        hashes = (64 + xxhash.xxh64_intdigest(s) % (SLOTS - 64) for s in stems_of(word))
-                        found = tuple(h for h in hashes if h in weight)
-                        cache.put(word, found)
-                    slots.update(found)
+                words = words_of(value)
                 fired = voters(value, words)
-                margins[i] = b + sum(weight[s] for s in sorted(slots)) + sum(weight.get(v, 0.0) for v in range(fired.bit_length()) if fired >> v & 1)
+                margins[i] = model.intercept + math.fsum(weight[s] for s in lookup(words)) + sum(w for v, w in enumerate(model.votes) if fired >> v & 1)
             yield pa.array(1 / (1 + np.exp(-np.clip(margins, -500, 500))))
 
     return docs.withColumn(name, score(F.col(text)))
