@@ -9,25 +9,30 @@ For the merge of ``a`` and ``b`` to ``ab`` the gadget
 * gives every state with an open arc ``a`` an arc ``ab`` that leads where ``b`` led before.
 
 So a state is named by the token read last. States inherit from the right part of their token what had been
-closed before it was made, and arcs inherit from their left part. The table keeps only what each gadget closed,
-one entry per merge; rows of the transition table are filled in as texts visit them.
+closed before it was made, and arcs inherit from their left part.
 
-A word is encoded from left to right over all prefixes: each prefix has one accepted sequence, so its last token
-is the one whose arc is open from the state of what precedes it. The work is linear in the word's length times the
-longest token. Decoding emits the labels of the arcs.
+When all gadgets are in, the automaton is laid out in flat arrays of a few MB. Arcs are numbered so that an arc comes after
+all arcs that inherit from it, older ones first: what one gadget closes is then one run of numbers, and the row of a state is
+its own runs and those inherited, united and sorted. Whether an arc is open is one search in the sorted rows. Beside them a
+table of symbols, with failure links, gives for each node the longest token that ends there, and for each token the next shorter one.
+
+Words are encoded many at a time, symbol by symbol and table read by table read over arrays. Each prefix of a word has one
+accepted sequence, so at each symbol its last token is the one, of those that end there, whose arc is open from the state
+of what precedes it. Decoding emits the labels of the arcs.
 
 Texts are split into words beforehand the way the vocabulary file says: special tokens are cut out, then the text
 is normalised, lower-cased and split. Latin-1 texts, where these steps are a lower-casing and one expression that
 never crosses a space, are remembered by what stands between spaces; all others go through the file's own normaliser and splitter.
 
-Defined cases: null and empty texts give no tokens. Texts of any length are encoded whole, a few MB at a time.
+Defined cases: null and empty texts give no tokens. Texts of any length are encoded whole, a few MB at a time; repeated rows
+give their tokens each, and an empty table an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,23 +42,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.llm.common import by_value, slices
+from tabscope.llm.common import Remembered, by_value, slices
+
+#: Chunks that a worker remembers in each of two generations, and symbols that it encodes at a time.
+REMEMBERED, AT_ONCE = 100_000, 1 << 20
+
 
-#: Chunks, words and transitions that a worker remembers, each, before it starts afresh.
-REMEMBERED = 100_000
+class _Gadgets:
+    """The automaton while it is built: what each merge closed, and what inherits from what."""
+
+    def __init__(self, size: int):
+        self.made, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
+        self.closed: dict[tuple[int, int], int] = {}
+
+    def is_open(self, state: int, arc: int) -> bool:
+        before = 1 << 60
+        while state >= 0:
+            part, until = arc, 1 << 60
+            while part >= 0:
+                number = self.closed.get((state, part))
+                if number is not None and number < before and number <= until:
+                    return False
+                part, until = self.left[part], self.made[part]
+            state, before = self.right[state], self.made[state]
+        return True
+
+    def add(self, number: int, left: int, right: int, joined: int) -> bool:
+        """Whether a path still reads the pair, so that its gadget changes anything."""
+        if not self.is_open(left, right):
+            return False
+        self.closed[left, right] = number
+        self.made[joined], self.left[joined], self.right[joined] = number, left, right
+        return True
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """(number of each arc, lowest number among what inherits from it, its heirs from the oldest)."""
+        size = len(self.made)
+        heirs: list[list[int]] = [[] for _ in range(size)]
+        for token in sorted(range(size), key=self.made.__getitem__):
+            if self.left[token] >= 0:
+                heirs[self.left[token]].append(token)
+        place, lowest, count = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
+        stack = [(token, False) for token in range(size - 1, -1, -1) if self.left[token] < 0]
+        while stack:
+            token, done = stack.pop()
+            if done:
+                place[token] = count
+                count += 1
+            else:
+                lowest[token] = count
+                stack.append((token, True))
+                stack += [(heir, False) for heir in reversed(heirs[token])]
+        return place, lowest, heirs
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each arc, sorted run starts, run ends), both as state * states + number."""
+        size = len(self.made)
+        place, lowest, heirs = self.numbered()
+        own: list[list[tuple[int, int, int]]] = [[] for _ in range(size)]
+        for (state, arc), number in self.closed.items():  # in order of number
+            first = next((h for h in heirs[arc] if self.made[h] >= number), arc)
+            own[state].append((number, int(lowest[first] if first != arc else place[arc]), int(place[arc])))
+        runs = [np.array(o, np.int64).reshape(-1, 3) for o in own]
+        inherited: dict[int, np.ndarray] = {}
+        starts, ends = [], []
+        nothing = np.empty((0, 2), np.int64)
+        for state in sorted(range(size), key=self.made.__getitem__):
+            above, given = self.right[state], nothing
+            if above >= 0:
+                before = runs[above][:np.searchsorted(runs[above][:, 0], self.made[state]), 1:]
+                given = _united(np.concatenate([before, inherited[above]]))
+            inherited[state] = given
+            row = _united(np.concatenate([runs[state][:, 1:], given])) + state * size
+            starts.append(row[:, 0])
+            ends.append(row[:, 1])
+        low, high = np.concatenate([nothing[:, 0], *starts]), np.concatenate([nothing[:, 1], *ends])
+        order = low.argsort()
+        return place, low[order], high[order]
+
+
+def _united(runs: np.ndarray) -> np.ndarray:
+    """Overlapping or adjacent runs as one."""
+    if len(runs) < 2:
+        return runs
+    runs = runs[runs[:, 0].argsort()]
+    reach = np.maximum.accumulate(runs[:, 1])
+    first = np.flatnonzero(np.r_[True, runs[1:, 0] > reach[:-1] + 1])
+    return np.stack([runs[first, 0], reach[np.r_[first[1:] - 1, len(runs) - 1]]], axis=1)
 
 
 class TokenAutomaton:
     """Deterministic automaton over tokens, compiled from the merges of a vocabulary.
 
-    ``tables`` is all of it in plain lists and dicts, for shipping it once to each worker.
+    ``tables`` is all of it in flat arrays, for shipping it once to each worker.
     """
 
     def __init__(self, tables: dict):
-        self.tables = tables
-        self.labels, self._made, self._left, self._right = (tables[k] for k in ("labels", "made", "left", "right"))
-        self._closed, self._visited = tables["closed"], tables["visited"]
-        self._next, self._arc, self._last_arc = tables["next"], tables["arc"], tables["last_arc"]
+        self.tables, self.labels = tables, tables["labels"]
 
     @classmethod
     def compiled(cls, vocabulary: dict[str, int], merges: list[tuple[str, str]], word_end: str = "") -> TokenAutomaton:
@@ -61,95 +146,146 @@ class TokenAutomaton:
         labels = [""] * size
         for label, i in vocabulary.items():
             labels[i] = label
-        # made: number of the merge that made a token of left and right; closed: state and arc to the merge that closed it.
-        tables = {"labels": labels, "made": [-1] * size, "left": [-1] * size, "right": [-1] * size, "closed": {}, "visited": {},
-                  "next": {}, "arc": [-1], "last_arc": [-1]}
-        automaton = cls(tables)
         made = {left + right for left, right in merges}
         # Tokens of several symbols that no merge makes have no arc.
         arcs = {i for label, i in vocabulary.items()
                 if label in made or len(label.removesuffix(word_end) if word_end else label) == 1}
+        gadgets = _Gadgets(size)
         for number, (left, right) in enumerate(merges):
-            automaton._gadget(number, vocabulary[left], vocabulary[right], vocabulary[left + right], arcs)
+            a, b, joined = vocabulary[left], vocabulary[right], vocabulary[left + right]
+            if a not in arcs or b not in arcs or not gadgets.add(number, a, b, joined):
+                arcs.discard(joined)
+        place, low, high = gadgets.rows()
+        spelled = {}
         for i in arcs:
-            automaton._spell(i, word_end)
-        return automaton
-
-    def _gadget(self, number: int, left: int, right: int, joined: int, arcs: set[int]) -> None:
-        if left not in arcs or right not in arcs or not self._open(left, right):
-            arcs.discard(joined)  # no path reads the pair any more
-            return
-        self._closed[left << 20 | right] = number
-        self._made[joined], self._left[joined], self._right[joined] = number, left, right
-
-    def _spell(self, arc: int, word_end: str) -> None:
-        """Enter the arc's label into the tables that read symbols."""
-        label = self.labels[arc]
-        last = bool(word_end) and label.endswith(word_end)
-        node = 0
-        for symbol in label.removesuffix(word_end) if last else label:
-            key = node << 20 | ord(symbol)
-            if (after := self._next.get(key)) is None:
-                after = self._next[key] = len(self._arc)
-                self._arc.append(-1)
-                self._last_arc.append(-1)
-            node = after
-        (self._last_arc if last else self._arc)[node] = arc
-        if not word_end:
-            self._last_arc[node] = arc
-
-    def _open(self, state: int, arc: int) -> bool:
-        closed, made, left, right, before = self._closed, self._made, self._left, self._right, math.inf
-        while state >= 0:
-            part, until = arc, math.inf
-            while part >= 0:
-                number = closed.get(state << 20 | part)
-                if number is not None and number < before and number <= until:
-                    return False
-                part, until = left[part], made[part]
-            state, before = right[state], made[state]
-        return True
-
-    def step(self, state: int, arc: int) -> bool:
-        """Whether the finished automaton has this arc out of the state."""
-        key = state << 20 | arc
-        if (known := self._visited.get(key)) is None:
-            if len(self._visited) >= REMEMBERED:
-                self._visited.clear()
-            known = self._visited[key] = self._open(state, arc)
-        return known
+            last = bool(word_end) and labels[i].endswith(word_end)
+            spelled[i] = [ord(c) for c in (labels[i].removesuffix(word_end) if last else labels[i])]
+            if last:
+                spelled[i][-1] += _LAST
+        return cls({"labels": labels, "place": place, "low": low, "high": high, "ends": bool(word_end)} | _symbols(spelled, size))
+
+    def _is_open(self, states: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        t = self.tables
+        key = states * len(t["place"]) + t["place"][arcs]
+        at = np.searchsorted(t["low"], key, side="right") - 1
+        return (at < 0) | (t["high"][at] < key) if len(t["low"]) else np.ones(len(key), bool)
+
+    def encode_all(self, words: list[str]) -> list[list[int]]:
+        """Tokens of each word, given as a string of base symbols."""
+        out: list[list[int]] = []
+        start = held = 0
+        for i, word in enumerate(words):
+            held += len(word)
+            if held >= AT_ONCE or i + 1 == len(words):
+                out += self._encode(words[start:i + 1])
+                start, held = i + 1, 0
+        return out
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        t = self.tables
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-n, kind="stable")
+        shortness = -n[order]
+        first = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(n, out=first[1:])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        if t["ends"]:
+            codes[first[1:][n > 0] - 1] += _LAST
+        begin = first[:-1][order]
+        last = np.empty(len(codes), np.int64)  # of each prefix the token read last
+        node = np.zeros(len(words), np.int64)
+        for spot in range(int(n.max(initial=0))):
+            active = int(np.searchsorted(shortness, -spot, side="left"))  # the words longer than this
+            here = begin[:active] + spot
+            node = self._follow(node[:active], codes[here])
+            token, undecided = t["longest"][node], np.arange(active)
+            while len(undecided):
+                arc = token[undecided]
+                if (arc < 0).any():
+                    raise ValueError(f"a symbol of {words[order[undecided[(arc < 0).argmax()]]]!r} is not in the vocabulary")
+                before = spot - t["length"][arc]
+                inner = before >= 0
+                spans, arcs = undecided[inner], arc[inner]
+                shut = spans[~self._is_open(last[begin[spans] + before[inner]], arcs)]
+                token[shut] = t["shorter"][token[shut]]
+                undecided = shut
+            last[here] = token
+        return self._traced(last, first, n)
+
+    def _follow(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next node of each, by the table of arcs, else by the node's failure link."""
+        t, new, seeking = self.tables, np.zeros(len(node), np.int64), np.arange(len(node))
+        while len(seeking):
+            key = node << 22 | code
+            at = np.searchsorted(t["arcs"], key)  # the last arc is larger than any
+            found = t["arcs"][at] == key
+            new[seeking[found]] = t["to"][at[found]]
+            left = np.flatnonzero(~found & (node > 0))  # at the root nothing is left to try
+            seeking, code, node = seeking[left], code[left], t["fail"][node[left]]
+        return new
+
+    def _traced(self, last: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[list[int]]:
+        length, at, words, tokens = self.tables["length"], n.copy(), [], []
+        active = np.flatnonzero(at)
+        while len(active):
+            token = last[first[active] + at[active] - 1]
+            words.append(active)
+            tokens.append(token)
+            at[active] -= length[token]
+            active = active[at[active] > 0]
+        if not words:
+            return [[] for _ in n]
+        word, token = np.concatenate(words)[::-1], np.concatenate(tokens)[::-1]
+        flat = token[np.argsort(word, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(word, minlength=len(n))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, word: str) -> list[int]:
-        """Tokens of one word, given as a string of base symbols."""
-        n, follow, step = len(word), self._next.get, self.step
-        codes = [ord(symbol) for symbol in word]
-        state, start = [-1] * (n + 1), [0] * (n + 1)
-        for begin in range(n):
-            before = state[begin]
-            if begin and before < 0:
-                continue
-            node = 0
-            for end in range(begin + 1, n + 1):
-                node = follow(node << 20 | codes[end - 1])
-                if node is None:
-                    break
-                if state[end] < 0:  # else its one accepted sequence is known
-                    arc = self._arc[node] if end < n else self._last_arc[node]
-                    if arc >= 0 and (not begin or step(before, arc)):
-                        state[end], start[end] = arc, begin
-        if n and state[n] < 0:
-            raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
-        tokens = []
-        while n:
-            tokens.append(state[n])
-            n = start[n]
-        return tokens[::-1]
+        return self.encode_all([word])[0]
 
     def decode(self, tokens: list[int]) -> str:
         """The labels of the arcs, joined by a space, as for a vocabulary file without a decoder."""
         return " ".join([self.labels[i] for i in tokens])
 
 
+#: Added to the code of a word's last symbol, where the vocabulary tells it from the same symbol inside.
+_LAST = 1 << 21
+
+
+def _symbols(spelled: dict[int, list[int]], size: int) -> dict[str, np.ndarray]:
+    """Tables that read symbols: arcs (node << 22 | symbol) and where they lead, failure links, and tokens by length."""
+    to: dict[int, int] = {}
+    children: list[list[tuple[int, int]]] = [[]]
+    token_at: list[int] = [-1]
+    for token, codes in spelled.items():
+        node = 0
+        for code in codes:
+            key = node << 22 | code
+            if (after := to.get(key)) is None:
+                after = to[key] = len(children)
+                children[node].append((code, after))
+                children.append([])
+                token_at.append(-1)
+            node = after
+        token_at[node] = token
+    fail, longest, queue = [0] * len(children), token_at[:], [0]
+    shorter, length = np.full(size, -1, np.int64), np.ones(size, np.int64)
+    for node in queue:  # breadth first, so that shorter suffixes are ready
+        for code, child in children[node]:
+            link = fail[node]
+            while node and link and (link << 22 | code) not in to:
+                link = fail[link]
+            fail[child] = to.get(link << 22 | code, 0) if node else 0
+            if (token := token_at[child]) >= 0:
+                shorter[token], length[token] = longest[fail[child]], len(spelled[token])
+            else:
+                longest[child] = longest[fail[child]]
+            queue.append(child)
+    arcs = sorted(to)
+    return {"arcs": np.array([*arcs, 1 << 62], np.int64), "to": np.array([*map(to.__getitem__, arcs), 0], np.int64), "fail": np.array(fail, np.int64),
+            "longest": np.array(longest, np.int64), "shorter": shorter, "length": length}
+
+
 def byte_symbols() -> list[str]:
     """The symbol of each byte in byte-level vocabularies: printable Latin-1 characters stand for themselves."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -168,13 +304,13 @@ def compiled(path: str) -> dict:
     labels += [""] * (max(special.values(), default=-1) + 1 - len(labels))
     for label, i in special.items():
         labels[i] = label
-    return tables | {"special": special, "split": model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], "path": path, "chunks": {}, "words": {}}
+    return tables | {"special": special, "split": model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], "path": path}
 
 
 class Codec:
-    """Encoder and decoder over such tables. What it has seen stays in them, for the worker's next task."""
+    """Encoder and decoder over such tables. What it has seen stays in ``known``, for the worker's next task."""
 
-    def __init__(self, tables: dict):
+    def __init__(self, tables: dict, known: Remembered):
         import regex
 
         self.automaton, self.special, self._path = TokenAutomaton(tables), tables["special"], tables["path"]
@@ -182,24 +318,15 @@ class Codec:
         self._split = regex.compile(tables["split"]).findall
         self._plain = re.compile(r"[\t\n\r\x20-\x7E\xA0-\xFF]*").fullmatch
         self._symbols = byte_symbols()
-        self._chunks, self._words, self._library = tables["chunks"], tables["words"], None
-
-    def _word(self, symbols: str) -> tuple[list[int], str]:
-        if (known := self._words.get(symbols)) is None:
-            if len(self._words) >= REMEMBERED:
-                self._words.clear()
-            tokens = self.automaton.encode(symbols)
-            known = self._words[symbols] = tokens, self.automaton.decode(tokens)
-        return known
-
-    def _chunk(self, chunk: str) -> tuple[list[int], str]:
-        """Tokens and labels of the words between two spaces."""
-        words = self._split(chunk)
+        self._letters = r"|[\p{L}]+|" in tables["split"]  # letters alone are one word then
+        self._known, self._library = known, None
+
+    def _words(self, chunk: str) -> list[str]:
+        """The words between two spaces, as symbols."""
+        words = [chunk] if self._letters and chunk.isalpha() else self._split(chunk)
         if chunk.isascii():  # each character is its own symbol
-            found = [self._word(w) for w in words]
-        else:
-            found = [self._word("".join([self._symbols[b] for b in w.encode()])) for w in words]
-        return found[0] if len(found) == 1 else ([i for f in found for i in f[0]], " ".join([f[1] for f in found]))
+            return words
+        return ["".join(map(self._symbols.__getitem__, w.encode())) for w in words]
 
     def _others(self, text: str) -> list[str]:
         """Words, as symbols, of any text, by the file's own normaliser and splitter."""
@@ -209,46 +336,52 @@ class Codec:
             self._library = Tokenizer.from_file(self._path)
         return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))]
 
-    def __call__(self, text: str | None) -> tuple[list[list[int]], list[str]]:
-        """Tokens and decoded text, both in pieces of a word or more."""
-        tokens: list[list[int]] = []
-        labels: list[str] = []
-        for part in self._cut.split(text or "") if self._cut else [text or ""]:
-            if part in self.special:
-                tokens.append([self.special[part]])
-                labels.append(part)
-                continue
-            if self._plain(part) is None:
-                found = [self._word(w) for w in self._others(part)]
-            else:
-                chunks, known = part.lower().split(), self._chunks
-                found = [known.get(c) for c in chunks]
-                for i, pair in enumerate(found):
-                    if pair is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        chunk = chunks[i]
-                        found[i] = known[chunk] = known.get(chunk) or self._chunk(chunk)
-            tokens += [p[0] for p in found]
-            labels += [p[1] for p in found]
-        return tokens, labels
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
+        """Tokens and decoded text of each. All words not seen before are encoded together."""
+        parts: list[list] = []  # per text: special tokens, and lists of chunks
+        unseen: dict[str, list[str]] = {}
+        ids: dict[str, bytes] = {}
+        labels: dict[str, str] = {}
+        get = self._known.get
+        for text in texts:
+            pieces: list = []
+            for part in self._cut.split(text or "") if self._cut else [text or ""]:
+                if part in self.special:
+                    pieces.append([part])
+                    ids[part], labels[part] = np.int32(self.special[part]).tobytes(), part
+                    continue
+                plain = self._plain(part) is not None
+                chunks = part.lower().split() if plain else ["\0" + w for w in self._others(part)]
+                pieces.append(chunks)
+                for chunk in set(chunks).difference(ids).difference(unseen):
+                    if (found := get(chunk)) is None:
+                        unseen[chunk] = self._words(chunk) if plain else [chunk[1:]]
+                    else:
+                        ids[chunk], labels[chunk] = found
+            parts.append(pieces)
+        words = list(dict.fromkeys(chain.from_iterable(unseen.values())))
+        tokens = dict(zip(words, self.automaton.encode_all(words)))
+        for chunk, own in unseen.items():
+            flat = tokens[own[0]] if len(own) == 1 else list(chain.from_iterable(tokens[w] for w in own))
+            found = ids[chunk], labels[chunk] = array("i", flat).tobytes(), self.automaton.decode(flat)
+            self._known.put(chunk, found)
+        return [(np.frombuffer(b"".join(map(ids.__getitem__, chain.from_iterable(pieces))), np.int32),
+                 " ".join(filter(None, map(labels.__getitem__, chain.from_iterable(pieces))))) for pieces in parts]
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) per row: the tokens of the whole text and what they decode to."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(compiled(path))  # some MB, by the vocabulary alone
+    known, tables = Remembered(REMEMBERED), compiled(path)  # some MB, by the vocabulary alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec(tables, known)
         for batch in slices(batches, 1):
             ends, ids, texts = [0], [], []
-            for value in batch.column(1).to_pylist():
-                tokens, labels = codec(value)
-                flat = list(chain.from_iterable(tokens))
-                ids.append(np.array(flat, np.int32))
-                ends.append(ends[-1] + len(flat))
-                texts.append(" ".join(labels) if decoded else None)
+            for tokens, text in codec(batch.column(1).to_pylist()):
+                ids.append(tokens)
+                ends.append(ends[-1] + len(tokens))
+                texts.append(text if decoded else None)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else []).cast(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
