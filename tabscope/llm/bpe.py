@@ -372,10 +372,11 @@ class Codec:
 def encoded(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) per row: the tokens of the whole text and what they decode to."""
 
-    known, tables = Remembered(REMEMBERED), compiled(path)  # some MB, by the vocabulary alone
+    # Some MB, by the vocabulary alone. A worker unpacks it once, so what it has seen serves its later tasks too.
+    shared = docs.sparkSession.sparkContext.broadcast((compiled(path), Remembered(REMEMBERED)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tables, known)
+        codec = Codec(*shared.value)
         for batch in slices(batches, 1):
             ends, ids, texts = [0], [], []
             for tokens, text in codec(batch.column(1).to_pylist()):

@@ -14,8 +14,8 @@ from tabscope.session import shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows (of an id and few numbers) up to which a counted side of a join is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of their values as text, up to which a counted side of a join is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 16 << 20
 
 #: A key is heavy if it holds more than one in so many rows: at most so many keys can.
 HEAVY_SHARE = 1_000
@@ -49,8 +49,9 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """Broadcast rows that are counted to be few; leave the join to shuffle beyond that. Takes written rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast rows that are counted to be few and short; leave the join to shuffle beyond that. Takes written rows."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).head()
+    return F.broadcast(df) if size.n <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES else df
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:

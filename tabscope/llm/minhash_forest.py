@@ -2,11 +2,13 @@
 
 1. Every text becomes its set of distinct word shingles, and the set a digest, a bit sketch and ``TREES`` labels, each
    a sequence of minimum hashes. Texts with equal sets form one class and go on as its smallest doc_id.
-2. Each tree is a sorted order of labels. Classes that share the first ``DEPTH`` minimum hashes of a label form a region,
-   and within it the following hashes keep those with the longest common prefix next to each other. Regions of one
-   class, most of them, are dropped at once.
-3. Neighbours in the sorted orders, at whatever depth their longest common prefix lies, whose sketches agree join classes to
-   *neighbourhoods*; a second pass over the regions joins neighbourhoods in which any other rows agree. Both only draw
+2. Each tree is a sorted order of labels, of ``DEPTH`` minimum hashes and ``FURTHER`` more. The longest common prefix (LCP) of
+   each two neighbours in the order cuts it into regions: runs in which it is ``DEPTH`` or more. Depth adapts per region:
+   one of at most ``SMALL`` rows is used as it is, a larger one is cut where the LCP is one longer, and so on, until its
+   parts are small or the labels end. Regions of one class, most of them, are dropped at once.
+3. Within a part, rows whose sketches agree are candidates: all against all in a small one, each row with the next ``SMALL``
+   in the order in one that stays larger. Candidates join classes to *neighbourhoods*. A second pass goes back to the whole
+   regions and joins neighbourhoods in which any other rows agree, so that depth saves work, not links. Both only draw
    candidates together: every two sets that share a region and agree are in one neighbourhood.
 4. Links are confirmed within a neighbourhood, on the full sets: breadth first from each class, which is held against the ones
    not reached yet, so a dense group of near copies is run through about once, and no pairs are ever emitted.
@@ -19,7 +21,8 @@
    different to be linked for words of their own do not meet at all.
 6. Components of all confirmed links by large and small stars.
 
-A region with more than a HEAVY_SHARE-th of all rows is dealt over several tasks in the same way.
+A region with more than a HEAVY_SHARE-th of all rows is dealt over several tasks in both passes. In the first, each task joins
+its own rows, and one row of the largest neighbourhood of each task then meet, before the second pass looks at the rest.
 
 Two sets at a Jaccard similarity of 0.8 share no region with probability (1 - 0.8^5)^32 = 3e-6, less at higher
 similarity; sketches of 128 bits let a pair of 0.8 go with probability 1e-8. No pair that passes is skipped unless links
@@ -40,11 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import BROADCAST_ROWS, HEAVY_SHARE, by_value, join_groups, sized, slices, written
+from tabscope.llm.common import HEAVY_SHARE, by_value, join_groups, sized, slices, written
 from tabscope.llm.components import components
 
 TREES = 32
-DEPTH = 5
+DEPTH, FURTHER = 5, 4
+#: Rows of a region that are all compared; larger ones are cut at greater depth.
+SMALL = 32
 SKETCH_WORDS = 2  # of 64 bits
 #: Sketch bits, of 128, in which two sets have to agree to be candidates at 0.8 or more: 5.6 deviations below the mean.
 AGREEING = 96
@@ -108,7 +113,7 @@ def _labels(least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key ^= key >> np.uint64(31)
     further = np.roll(trees, -1, axis=0)  # the next tree's minimums are as good for going deeper
     order = np.zeros(TREES, np.uint64)
-    for i in range(4):
+    for i in range(FURTHER):
         order = (order << np.uint64(16)) | (further[:, i] & np.uint64(0xFFFF))
     bits = ((least * np.uint64(_MIX[1])) >> np.uint64(40)) & np.uint64(1)
     sketch = np.packbits(bits[:64 * SKETCH_WORDS].astype(np.uint8)).view(np.int64)
@@ -174,21 +179,75 @@ def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
         yield rest
 
 
+def _parts(region: np.ndarray, further: np.ndarray) -> np.ndarray:
+    """Starts of the parts that sorted rows are cut into, and the end, from the starts of regions and the labels' rest.
+
+    The longest common prefix of two neighbours is DEPTH and as many 16-bit groups more as they share from the left.
+    """
+    n = len(further)
+    lcp = np.zeros(n, np.int64)  # with the row before, beyond DEPTH; -1 where a region starts
+    apart = further[1:] ^ further[:-1]
+    for k in range(FURTHER):
+        lcp[1:] += apart >> np.uint64(16 * (FURTHER - 1 - k)) == 0
+    lcp[region[:-1]] = -1
+    starts = region
+    for depth in range(1, FURTHER + 1):
+        crowded = np.repeat(np.diff(starts) > SMALL, np.diff(starts))
+        if not crowded.any():
+            break
+        cut = crowded & (lcp < depth)
+        cut[starts[:-1]] = True
+        starts = np.append(np.flatnonzero(cut), n)
+    return starts
+
+
+def _drawn(t: dict[str, np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """For each row the smallest id that agreeing rows of its part lead to, each compared with the next SMALL in order."""
+    n = len(t["id"])
+    end = np.repeat(starts[1:], np.diff(starts))
+    left, right = [], []
+    rows = np.arange(n)
+    for gap in range(1, SMALL):
+        rows = rows[rows + gap < end[rows]]
+        if not len(rows):
+            break
+        agree = rows[_agreement(t["s0"][rows], t["s1"][rows], t["s0"][rows + gap], t["s1"][rows + gap]) >= AGREEING]
+        left.append(agree)
+        right.append(agree + gap)
+    least = t["id"].copy()
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        while True:
+            low = np.minimum(least[a], least[b])
+            new = least.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            if np.array_equal(new, least):
+                break
+            least = new
+    return least
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of regions with two or more classes, with the smallest class that agreeing neighbours in the sorted order lead to."""
     for t in _table(batches):
         starts = _runs(*(t[k] for k in _REGION))
         size = np.repeat(np.diff(starts), np.diff(starts))
-        keep = np.flatnonzero(size > 1)
-        breaks = np.zeros(len(size), bool)
-        breaks[1:] = _agreement(t["s0"][1:], t["s1"][1:], t["s0"][:-1], t["s1"][:-1]) < AGREEING
-        breaks[starts[:-1]] = True
-        runs = np.append(np.flatnonzero(breaks), len(size))
-        least = np.repeat(np.minimum.reduceat(t["id"], runs[:-1]), np.diff(runs))
-        names = ["tree", "key", "id", "s0", "s1"]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(t[k][keep].view(np.int64) if k in ("s0", "s1") else t[k][keep]) for k in names] + [pa.array(least[keep])],
-            names=[*names, "least"])
+        keep = np.flatnonzero((size > 1) | (t["part"] >= 0))
+        t["least"] = _drawn(t, _parts(starts, t["ord"].view(np.uint64)))
+        names = ["tree", "key", "part", "id", "s0", "s1", "least"]
+        yield pa.RecordBatch.from_arrays([pa.array(t[k][keep].view(np.int64) if k in ("s0", "s1") else t[k][keep]) for k in names], names=names)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Agreeing pairs of the rows that stand for the tasks of a heavy region, at most HEAVY_SHARE of them."""
+    for t in _table(batches):
+        starts = _runs(t["tree"], t["key"])
+        for begin, end in zip(starts[:-1], starts[1:]):
+            ids, s0, s1 = (t[k][begin:end] for k in ("id", "s0", "s1"))
+            for i in range(1, len(ids)):
+                other = np.flatnonzero(_agreement(s0[i], s1[i], s0[:i], s1[:i]) >= AGREEING)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), ids[i])), pa.array(ids[:i][other])], names=["a", "b"])
 
 
 def _joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,12 +457,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # Equal sets fold into one class, before the shuffle where they meet in a task.
     classes = whole.groupBy("digest").agg(F.min("id").alias("id"), F.first(F.struct("keys", "orders", "s0", "s1")).alias("f"))
     labels = classes.select("id", F.expr("f.s0 AS s0"), F.expr("f.s1 AS s1"), F.posexplode(F.expr("arrays_zip(f.keys, f.orders)")).alias("tree", "l"))
-    rows = labels.selectExpr("tree", "l.keys AS key", "0 AS part", "id", "l.orders AS ord", "s0", "s1")
-    live = written(_by_region(rows, "ord", "id").select("tree", "key", "part", "id", "s0", "s1").mapInArrow(
-        _neighbours, "tree int, key long, id long, s0 long, s1 long, least long"))
-
+    rows = labels.selectExpr("tree", "l.keys AS key", "id", "l.orders AS ord", "s0", "s1")
     n_rows = signed.count()
-    areas = written(components(live.where("least < id").selectExpr("id AS a", "least AS b")))
+    most = max(LEAST_HEAVY, n_rows // HEAVY_SHARE)
+    heavy = written(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most))  # at most TREES * HEAVY_SHARE
+    rows = rows.join(F.broadcast(heavy), ["tree", "key"], "left").withColumn(
+        "part", F.expr(f"CASE WHEN size IS NULL THEN -1 ELSE CAST(pmod(xxhash64(id), ceil(size / {most})) AS INT) END")).drop("size")
+    live = written(_by_region(rows, "ord", "id").select("tree", "key", "part", "id", "ord", "s0", "s1").mapInArrow(
+        _neighbours, "tree int, key long, part int, id long, s0 long, s1 long, least long"))
+    links = live.where("least < id").selectExpr("id AS a", "least AS b")
+    if not heavy.isEmpty():
+        region = ["tree", "key", "part"]
+        mains = live.where("part >= 0").groupBy(*region, "least").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("id", "s0", "s1"), "id").alias("r"))
+        mains = mains.groupBy(*region).agg(F.max_by("r", F.struct("k", "least")).alias("r")).select(*region, "r.*")
+        met = mains.withColumn("part", F.lit(0)).repartition("tree", "key").sortWithinPartitions("tree", "key").mapInArrow(_met, "a long, b long")
+        links = links.unionByName(met)
+    live = live.drop("part")
+    areas = written(components(links))
     more = _by_region(_dealt(live, areas, n_rows)).mapInArrow(_joins, "a long, b long").distinct()
     areas = written(components(areas.selectExpr("id AS a", "component_id AS b").unionByName(more)))
     sets = written(_sets(docs, sized(areas.select("id")), text, doc_id, width))
@@ -421,7 +491,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, least: int = 80) -> DataFrame:
     """The rows of ``docs`` without those that have a near-duplicate of smaller doc_id in their component."""
     gone = written(near_duplicates(docs, text, doc_id, width, least).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = sized(gone)
     rows = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_id"))
     return rows.join(gone, F.expr("_id = _gone"), "left_anti").select("_doc.*")
 

@@ -83,6 +83,22 @@ def test_near(spark, rows, width, part, monkeypatch):
     assert got == components_of(rows, width)
 
 
+def test_near_heavy_regions(spark, rows, monkeypatch):
+    """Every region of more than three rows is dealt over tasks in both passes."""
+    monkeypatch.setattr(minhash_forest, "LEAST_HEAVY", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(table(spark, rows), width=2).collect()}
+    assert got == components_of(rows, 2)
+
+
+def test_regions_are_cut_where_prefixes_end():
+    """A region of more than SMALL rows is cut at greater depth, only where it is crowded."""
+    groups = [0x0001_0000_0000_0000] * 20 + [0x0002_0000_0000_0000] * 20 + [0x0001_0000_0000_0000, 0x0002_0000_0000_0000]
+    parts = minhash_forest._parts(np.array([0, 40, 42]), np.array(groups, np.uint64))
+    assert parts.tolist() == [0, 20, 40, 42]
+    same = minhash_forest._parts(np.array([0, 50]), np.full(50, 7, np.uint64))
+    assert same.tolist() == [0, 50]
+
+
 @pytest.mark.parametrize("own", [True, False])
 def test_near_unlinked_template(spark, own, monkeypatch):
     """A neighbourhood of many parts without a main component: no task may get more than a few parts of it."""
