@@ -30,14 +30,15 @@ give their tokens each, and an empty table an empty result. Further columns are
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,9 +171,9 @@ class TokenAutomaton:
         at = np.searchsorted(t["low"], key, side="right") - 1
         return (at < 0) | (t["high"][at] < key) if len(t["low"]) else np.ones(len(key), bool)
 
-    def encode_all(self, words: list[str]) -> list[list[int]]:
-        """Tokens of each word, given as a string of base symbols."""
-        out: list[list[int]] = []
+    def encode_all(self, words: list[str]) -> list[bytes]:
+        """Tokens of each word, given as a string of base symbols; 4 bytes each."""
+        out: list[bytes] = []
         start = held = 0
         for i, word in enumerate(words):
             held += len(word)
@@ -181,7 +182,7 @@ class TokenAutomaton:
                 start, held = i + 1, 0
         return out
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
+    def _encode(self, words: list[str]) -> list[bytes]:
         t = self.tables
         n = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-n, kind="stable")
@@ -224,28 +225,25 @@ class TokenAutomaton:
             seeking, code, node = seeking[left], code[left], t["fail"][node[left]]
         return new
 
-    def _traced(self, last: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[list[int]]:
+    def _traced(self, last: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """Back from the end of each word, token by token."""
         length, at, words, tokens = self.tables["length"], n.copy(), [], []
         active = np.flatnonzero(at)
         while len(active):
             token = last[first[active] + at[active] - 1]
             words.append(active)
-            tokens.append(token)
+            tokens.append(token.astype("<i4"))
             at[active] -= length[token]
             active = active[at[active] > 0]
         if not words:
-            return [[] for _ in n]
+            return [b""] * len(n)
         word, token = np.concatenate(words)[::-1], np.concatenate(tokens)[::-1]
-        flat = token[np.argsort(word, kind="stable")].tolist()
-        ends = np.cumsum(np.bincount(word, minlength=len(n))).tolist()
+        flat = token[np.argsort(word, kind="stable")].tobytes()
+        ends = (4 * np.cumsum(np.bincount(word, minlength=len(n)))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, word: str) -> list[int]:
-        return self.encode_all([word])[0]
-
-    def decode(self, tokens: list[int]) -> str:
-        """The labels of the arcs, joined by a space, as for a vocabulary file without a decoder."""
-        return " ".join([self.labels[i] for i in tokens])
+        return np.frombuffer(self.encode_all([word])[0], "<i4").tolist()
 
 
 #: Added to the code of a word's last symbol, where the vocabulary tells it from the same symbol inside.
@@ -293,6 +291,7 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
+@functools.lru_cache(2)
 def compiled(path: str) -> dict:
     """The tables of a vocabulary file with word ends."""
     with open(path, encoding="utf-8") as file:
@@ -307,6 +306,10 @@ def compiled(path: str) -> dict:
     return tables | {"special": special, "split": model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], "path": path}
 
 
+#: Marks of words that are no chunk of a plain text, and of special tokens; neither begins a chunk.
+_WORD, _SPECIAL = "\0", "\1"
+
+
 class Codec:
     """Encoder and decoder over such tables. What it has seen stays in ``known``, for the worker's next task."""
 
@@ -317,7 +320,7 @@ class Codec:
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._split = regex.compile(tables["split"]).findall
         self._plain = re.compile(r"[\t\n\r\x20-\x7E\xA0-\xFF]*").fullmatch
-        self._symbols = byte_symbols()
+        self._symbols, self._labels = byte_symbols(), pa.array(tables["labels"], pa.string())
         self._letters = r"|[\p{L}]+|" in tables["split"]  # letters alone are one word then
         self._known, self._library = known, None
 
@@ -336,37 +339,53 @@ class Codec:
             self._library = Tokenizer.from_file(self._path)
         return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))]
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
-        """Tokens and decoded text of each. All words not seen before are encoded together."""
-        parts: list[list] = []  # per text: special tokens, and lists of chunks
-        unseen: dict[str, list[str]] = {}
-        ids: dict[str, bytes] = {}
-        labels: dict[str, str] = {}
-        get = self._known.get
-        for text in texts:
-            pieces: list = []
-            for part in self._cut.split(text or "") if self._cut else [text or ""]:
-                if part in self.special:
-                    pieces.append([part])
-                    ids[part], labels[part] = np.int32(self.special[part]).tobytes(), part
-                    continue
-                plain = self._plain(part) is not None
-                chunks = part.lower().split() if plain else ["\0" + w for w in self._others(part)]
-                pieces.append(chunks)
-                for chunk in set(chunks).difference(ids).difference(unseen):
-                    if (found := get(chunk)) is None:
-                        unseen[chunk] = self._words(chunk) if plain else [chunk[1:]]
-                    else:
-                        ids[chunk], labels[chunk] = found
-            parts.append(pieces)
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Tokens of distinct chunks; all words not seen before are encoded together."""
+        get, found, unseen = self._known.get, [], {}
+        for i, chunk in enumerate(chunks):
+            ids = get(chunk)
+            found.append(ids)
+            if ids is None:
+                unseen[i] = [chunk[1:]] if chunk[:1] == _WORD else self._words(chunk)
         words = list(dict.fromkeys(chain.from_iterable(unseen.values())))
-        tokens = dict(zip(words, self.automaton.encode_all(words)))
-        for chunk, own in unseen.items():
-            flat = tokens[own[0]] if len(own) == 1 else list(chain.from_iterable(tokens[w] for w in own))
-            found = ids[chunk], labels[chunk] = array("i", flat).tobytes(), self.automaton.decode(flat)
-            self._known.put(chunk, found)
-        return [(np.frombuffer(b"".join(map(ids.__getitem__, chain.from_iterable(pieces))), np.int32),
-                 " ".join(filter(None, map(labels.__getitem__, chain.from_iterable(pieces))))) for pieces in parts]
+        ids_of = dict(zip(words, self.automaton.encode_all(words)))
+        for i, own in unseen.items():
+            found[i] = ids_of[own[0]] if len(own) == 1 else b"".join(map(ids_of.__getitem__, own))
+            self._known.put(chunks[i], found[i])
+        return found
+
+    def _chunks(self, texts: list[str]) -> pa.ListArray:
+        """What stands between spaces in texts of the plain kind, else the words, marked as such."""
+        plain = [self._plain(t) is not None and not (self._cut and self._cut.search(t)) for t in texts]
+        lowered = pc.utf8_lower(pa.array([t if is_plain else "" for t, is_plain in zip(texts, plain)], pa.string()))
+        lists = pc.utf8_split_whitespace(lowered)
+        if all(plain):
+            return lists
+        others = [[w for part in (self._cut.split(t) if self._cut else [t])
+                   for w in ([_SPECIAL + part] if part in self.special else [_WORD + w for w in self._others(part)])]
+                  for t, is_plain in zip(texts, plain) if not is_plain]
+        both = pa.concat_arrays([lists, pa.array(others, lists.type)])
+        place = np.arange(len(texts))
+        place[~np.array(plain)] = len(texts) + np.arange(len(others))
+        return both.take(pa.array(place))
+
+    def __call__(self, texts: list[str | None]) -> tuple[pa.ListArray, pa.Array]:
+        """Tokens and decoded text of each: the labels of the arcs, joined by a space, as for a file without a decoder."""
+        lists = self._chunks([t or "" for t in texts])
+        ends, coded = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        special = [i for i, c in enumerate(chunks) if c[:1] == _SPECIAL]
+        ids = self._ids([c if c[:1] != _SPECIAL else "" for c in chunks]) if chunks else []
+        for i in special:
+            ids[i] = np.int32(self.special[chunks[i][1:]]).tobytes()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, known = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<i4")
+        n = size[at]
+        reached = np.concatenate([[0], np.cumsum(n)])
+        flat = known[np.repeat(start[at] - reached[:-1], n) + np.arange(reached[-1])]
+        offsets = pa.array(reached[ends - ends[0]], pa.int32())
+        found = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
+        return found, pc.binary_join(pa.ListArray.from_arrays(offsets, self._labels.take(found.values)), " ")
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = True) -> DataFrame:
@@ -378,14 +397,9 @@ def encoded(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*shared.value)
         for batch in slices(batches, 1):
-            ends, ids, texts = [0], [], []
-            for tokens, text in codec(batch.column(1).to_pylist()):
-                ids.append(tokens)
-                ends.append(ends[-1] + len(tokens))
-                texts.append(text if decoded else None)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else []).cast(pa.int32()))
+            ids, texts = codec(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+                [batch.column(0), ids, texts if decoded else pa.nulls(len(texts), pa.string())], names=["doc_id", "ids", "decoded"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("decoded", T.StringType())])
