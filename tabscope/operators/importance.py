@@ -25,10 +25,11 @@ def permutation_drops(df: DataFrame, features: Sequence[str], task: str, predict
     row by row in the same stage. The result is the same for any partitioning when ``key`` is unique.
     """
     names = {c: f"x{i}" for i, c in enumerate(features)}
-    data = df.select(LABEL, *[F.col(reference(c)) for c in dict.fromkeys([*features, *(key or [])])])
+    keys = {f"_key{i}": F.col(reference(c)) for i, c in enumerate(key or [])}
+    data = df.select(LABEL, *[F.col(reference(c)).alias(x) for c, x in names.items()], *[c.alias(k) for k, c in keys.items()])
     n = data.count()
-    rows = numbered(data, order_by=list(key)) if key else numbered(spread(data))
-    own = F.struct(*[F.col(reference(c)).alias(x) for c, x in names.items()])
+    rows = numbered(data, order_by=list(keys)) if key else numbered(spread(data))
+    own = F.struct(*names.values())
     partners = ", ".join(f"named_struct('repeat', {r}, 'partner', {permuted('row_index', n, seed, r)})" for r in range(repeats))
     left = rows.select(LABEL, own.alias("own"), F.expr(f"inline(array({partners}))"))
     right = rows.select(F.col("row_index").alias("partner"), own.alias("other"))
@@ -36,7 +37,7 @@ def permutation_drops(df: DataFrame, features: Sequence[str], task: str, predict
     shuffled = variants.select(LABEL, "f", "repeat", *[
         F.expr(f"CASE WHEN f = {i} THEN other.{x} ELSE own.{x} END").alias(c) for i, (c, x) in enumerate(names.items())])
     scores = _score(predict(shuffled), task, ["f", "repeat"])
-    baseline = _score(predict(rows.drop("row_index")), task, []).first().score  # one number
+    baseline = _score(predict(rows.select(LABEL, *[F.col(x).alias(c) for c, x in names.items()])), task, []).first().score  # one number
     labels = F.array(*[F.lit(c) for c in features])
     return scores.select(
         F.col("f").alias("feature_ordinal"), labels[F.col("f")].alias("feature"), "repeat", "score",

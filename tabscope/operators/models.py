@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from tabscope.functions.values import as_double, reference, rendered
 from tabscope.operators.metrics import classification_scores, regression_scores
 from tabscope.operators.prep import FEATURES, Preparation, fit_preparation
-from tabscope.operators.sampling import class_weights, random_split, stratified_split
+from tabscope.operators.sampling import class_weights, random_split, stratified_split, unused
 from tabscope.session import shared_folder, spread
 
-# Reserved names, so that features called label, features and the like stay features.
+# Long names, so that features called label, features and the like stay features; a column that has one is refused.
 LABEL = "__model_label"
 WEIGHT = "__model_weight"
+#: Classes of a target that a model is fitted on; more are refused.
+MAX_CLASSES = 1_000
 REGRESSION, CLASSIFICATION = "regression", "classification"
 
 
@@ -94,9 +96,13 @@ def labelled(df: DataFrame, target: str, task: str) -> tuple[DataFrame, StringIn
     data_type = df.schema[target].dataType
     if task == REGRESSION:
         return df.withColumn(LABEL, F.expr(as_double(reference(target), data_type))), None
-    named = df.withColumn("_class", F.expr(rendered(reference(target), data_type)))
-    indexer = StringIndexer(inputCol="_class", outputCol=LABEL, stringOrderType="alphabetAsc").fit(named)
-    return indexer.transform(named).drop("_class"), indexer
+    name = unused(df.columns, "_class")
+    named = df.withColumn(name, F.expr(rendered(reference(target), data_type)))
+    found = named.select(name).distinct().limit(MAX_CLASSES + 1).count()
+    if found > MAX_CLASSES:  # the models keep a row of weights or votes per class
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    indexer = StringIndexer(inputCol=name, outputCol=LABEL, stringOrderType="alphabetAsc").fit(named)
+    return indexer.transform(named).drop(name), indexer
 
 
 def weighted(df: DataFrame) -> DataFrame:
@@ -133,13 +139,16 @@ def bake_off(df: DataFrame, target: str, task: str, numeric: list[str], categori
     vectors are cached for the iterative fits; the cache is only for speed, the split is a
     function of the key.
     """
+    if taken := {LABEL, WEIGHT, FEATURES} & set(df.columns):
+        raise ValueError(f"the model's own names are columns: {sorted(taken)}")
     data, indexer = labelled(df, target, task)
+    flag = unused(data.columns, "is_test")
     if task == REGRESSION:
-        split = random_split(data, test_size, key, seed)
+        split = random_split(data, test_size, key, seed, flag)
     else:
-        split = stratified_split(data, LABEL, test_size, key, seed)
+        split = stratified_split(data, LABEL, test_size, key, seed, flag)
     split = split.persist()
-    train, test = split.where("NOT is_test"), split.where("is_test")
+    train, test = split.where(f"NOT {flag}").drop(flag), split.where(flag).drop(flag)
     preparation = fit_preparation(train, numeric, categorical, max_categories)
     n_train = train.count()
     train_vectors = vectors_of(preparation, train).persist()

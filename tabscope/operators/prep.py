@@ -160,6 +160,14 @@ def scaled(df: DataFrame, columns: Sequence[str], population: bool = True) -> Da
     return df.withColumns({c: F.expr(f"{as_double(reference(c), df.schema[c].dataType)} / {_number(by[c])}") for c in columns})
 
 
+def free_prefix(columns: Sequence[str]) -> str:
+    """Underscores that no column begins with, so that names made with them cannot clash."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 @dataclass
 class Preparation:
     """A fitted feature pipeline in two steps, and what became of each column.
@@ -203,8 +211,9 @@ def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Seque
     numeric = [c for c in numeric if c in number_fill]
     if not numeric and not kept:
         raise ValueError("no usable feature column")
-    number_slot = {c: f"_n{i}" for i, c in enumerate(numeric)}
-    text_slot = {c: f"_k{i}" for i, c in enumerate(kept)}
+    own = free_prefix(train.columns)  # of the names of all columns made here
+    number_slot = {c: f"{own}n{i}" for i, c in enumerate(numeric)}
+    text_slot = {c: f"{own}k{i}" for i, c in enumerate(kept)}
     filled = _imputation(train, number_fill, {c: text_fill[c] for c in kept}, (number_slot | text_slot).__getitem__)
     stages: list[Transformer] = [SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")]
     wide = [c for c in kept if n_values[c] > max_categories]
@@ -216,12 +225,12 @@ def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Seque
     if numeric:
         # Spread of the imputed values, as the model sees them.
         by = spreads(stages[0].transform(train), list(number_slot.values()))
-        scale = ", ".join(f"{slot} / {_number(by[slot])} AS _s{i}" for i, slot in enumerate(number_slot.values()))
+        scale = ", ".join(f"{slot} / {_number(by[slot])} AS {own}s{i}" for i, slot in enumerate(number_slot.values()))
         stages.append(SQLTransformer(statement=f"SELECT *, {scale} FROM __THIS__"))
-        slots = {c: f"_s{i}" for i, c in enumerate(numeric)}
+        slots = {c: f"{own}s{i}" for i, c in enumerate(numeric)}
     if kept:
-        indexed = [f"_i{i}" for i in range(len(kept))]
-        slots |= {c: f"_h{i}" for i, c in enumerate(kept)}
+        indexed = [f"{own}i{i}" for i in range(len(kept))]
+        slots |= {c: f"{own}h{i}" for i, c in enumerate(kept)}
         stages += [
             # The extra index for unseen values is the one the encoder drops.
             StringIndexer(inputCols=list(text_slot.values()), outputCols=indexed, handleInvalid="keep",

@@ -21,6 +21,7 @@ from tabscope.session import materialised
 
 LOW_BITS = 16
 BROADCAST_GROUPS = 100_000
+HEAVY_SHARE = 1_000
 
 
 def hash_position(key: Sequence[str], seed: int) -> str:
@@ -40,51 +41,70 @@ def _edges(rows: DataFrame, cell: str, quota: str, carried: str) -> DataFrame:
     return found
 
 
-def _joinable(edges: DataFrame) -> DataFrame:
-    """Cut the lineage of the one-row-per-group edges; broadcast them when they are counted to be few."""
-    edges = materialised(edges)
-    return F.broadcast(edges) if edges.count() <= BROADCAST_GROUPS else edges
+def _joined(rows: DataFrame, edges: DataFrame, on: str, how: str, n_rows: int | None = None) -> DataFrame:
+    """Join rows to the one written edge of their group, by broadcast where the edges are counted to be few.
+
+    Beyond that, groups with more than a HEAVY_SHARE-th of the rows (so many there can be) are broadcast and the others meet
+    by a shuffle in which no key is hot. ``edges`` has ``_g`` and ``_total``, the rows of the group.
+    """
+    condition = F.expr(on)
+    if edges.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(edges), condition, how)
+    heavy = F.expr(f"_total * {HEAVY_SHARE} > {rows.count() if n_rows is None else n_rows}")
+    hot, cold = F.broadcast(edges.where(heavy)), edges.where(~heavy)
+    named = F.broadcast(edges.where(heavy).select("_g"))
+    apart = rows.join(named, F.expr("_group <=> _g"), "left_anti").join(cold, condition, how)
+    return rows.join(named, F.expr("_group <=> _g"), "left_semi").join(hot, condition, how).unionByName(apart)
 
 
 def mark_lowest(df: DataFrame, key: Sequence[str], quota: str, by: str | None = None, seed: int = 42,
                 flag: str = "chosen") -> DataFrame:
     """Add boolean ``flag``: true on the rows of each group with the lowest hashed key.
 
-    ``quota`` is SQL over ``total``, the rows of the group; ``by`` names the group column.
+    ``quota`` is SQL over ``total``, the rows of the group; ``by`` names the group column. The columns of ``df`` travel
+    in a struct, so none of their names is reserved; only ``flag`` must be new.
     """
-    rows = df.withColumns({
-        "_group": F.expr(reference(by) if by else "0"), "_hash": F.expr(hash_position(key, seed))})
+    if flag.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {flag} already")
+    keys = {f"_key{i}": F.col(reference(c)) for i, c in enumerate(key)}
+    rows = df.select(F.struct(*map(F.col, map(reference, df.columns))).alias("_row"), F.expr(f"{reference(by) if by else '0'} AS _group"),
+                     F.expr(f"{hash_position(key, seed)} AS _hash"), *[c.alias(k) for k, c in keys.items()])
     upper, lower = f"shiftright(_hash, {LOW_BITS})", f"_hash & {(1 << LOW_BITS) - 1}"
-    coarse = _joinable(_edges(rows, upper, quota, "").selectExpr("_group AS _g", "_cell AS _upper", "need AS _wanted"))
-    inside = rows.select("_group", "_hash").join(
-        coarse, F.expr(f"_group <=> _g AND {upper} = _upper")).drop("_g")
-    inside = inside.withColumn("_carry", F.expr("struct(_upper, _wanted)"))
-    fine = _edges(inside, lower, "_carry._wanted", "_carry").selectExpr(
-        "_group AS _g", f"shiftleft(_carry._upper, {LOW_BITS}) | _cell AS _edge", "need AS _need", "n AS _at_edge")
-    fine = _joinable(fine)
-    placed = rows.join(fine, F.expr("_group <=> _g"), "left")
-    columns = [*df.columns]
-    if fine.where("_at_edge > _need").limit(1).count() == 0:
-        return placed.select(*map(F.col, map(reference, columns)), F.expr("coalesce(_hash <= _edge, false)").alias(flag))
+    coarse = materialised(_edges(rows, upper, quota, "").selectExpr("_group AS _g", "_cell AS _upper", "need AS _wanted", "total AS _total"))
+    inside = _joined(rows.select("_group", "_hash"), coarse, f"_group <=> _g AND {upper} = _upper", "inner").drop("_g")
+    inside = inside.withColumn("_carry", F.expr("struct(_upper, _wanted, _total)"))
+    fine = materialised(_edges(inside, lower, "_carry._wanted", "_carry").selectExpr(
+        "_group AS _g", f"shiftleft(_carry._upper, {LOW_BITS}) | _cell AS _edge", "need AS _need", "n AS _at_edge", "_carry._total AS _total"))
+    placed = _joined(rows, fine, "_group <=> _g", "left")
+    if fine.where("_at_edge > _need").isEmpty():
+        return placed.select("_row.*", F.expr("coalesce(_hash <= _edge, false)").alias(flag))
     shared = "coalesce(_hash = _edge AND _at_edge > _need, false)"
-    clear = placed.where(f"NOT {shared}").withColumn(flag, F.expr("coalesce(_hash <= _edge, false)"))
-    tied = numbered(placed.where(shared), order_by=list(key), within="_group", name="_rank")
-    tied = tied.withColumn(flag, F.expr("_rank < _need"))
-    wanted = [*map(reference, columns), flag]
-    return clear.select(*wanted).unionByName(tied.select(*wanted))
+    clear = placed.where(f"NOT {shared}").select("_row.*", F.expr("coalesce(_hash <= _edge, false)").alias(flag))
+    tied = numbered(placed.where(shared), order_by=list(keys), within="_group", name="_rank")
+    return clear.unionByName(tied.select("_row.*", F.expr("_rank < _need").alias(flag)))
+
+
+def unused(columns: Sequence[str], name: str) -> str:
+    """``name``, with as many underscores behind as no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _keyed(df: DataFrame, key: Sequence[str] | None) -> tuple[DataFrame, list[str], list[str]]:
     """Without a key, rows get a number to hash; it is dropped again at the end."""
     if key:
         return df, list(key), []
-    return numbered(df, name="_row"), ["_row"], ["_row"]
+    name = unused(df.columns, "_row")
+    return numbered(df, name=name), [name], [name]
 
 
 def sample_exact(df: DataFrame, n: int, key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer), the same ones for the same key and seed."""
     rows, names, extra = _keyed(df, key)
-    return mark_lowest(rows, names, f"least({int(n)}, total)", seed=seed, flag="_chosen").where("_chosen").drop("_chosen", *extra)
+    flag = unused(rows.columns, "_chosen")
+    return mark_lowest(rows, names, f"least({int(n)}, total)", seed=seed, flag=flag).where(flag).drop(flag, *extra)
 
 
 def random_split(df: DataFrame, test_size: float = 0.2, key: Sequence[str] | None = None, seed: int = 42,

@@ -199,3 +199,24 @@ def test_a_feature_called_label_is_no_target(spark):
     df = spark.range(300).selectExpr("id", "pmod(hash(id, 1), 100) AS label", "pmod(hash(id, 2), 100) AS features", "pmod(hash(id, 3), 100) * 1.0D AS y")
     outcome = models.bake_off(df, "y", models.REGRESSION, ["label", "features"], [], sizes=SMALL)
     assert max(f.scores["r2"] for f in outcome.candidates) < 0.5
+
+
+def test_no_column_name_is_reserved(spark):
+    """Features with the names of all columns that the library makes for itself, and of those that models add."""
+    names = ["is_test", "_n0", "_s0", "_k0", "_i0", "_h0", "_class", "_label", "_edge", "_need", "_row", "_group", "_hash", "prediction", "label",
+             "features", "row_index", "_key0", "_chosen", "probability", "rawPrediction", "partner", "repeat", "f", "x0"]
+    draw = np.random.default_rng(4)
+    rows = [(i, *[("ab"[i % 2] if n in ("_k0", "_class") else float(draw.normal())) for n in names], "yes" if i % 2 else "no") for i in range(120)]
+    df = spark.createDataFrame(rows, ["id", *names, "goal"])
+    done = train(df, "goal", models.CLASSIFICATION, key=["id"], repeats=2, sizes=SMALL)
+    assert {r.feature for r in done.importance.collect()} == {"id", *names}
+    best = done.importance.orderBy(F.desc("mean")).first().feature
+    assert best in ("_k0", "_class") and done.outcome.best.scores["accuracy"] > 0.9
+    done = train(df.drop("goal"), "label", models.REGRESSION, key=["row_index"], repeats=1, sizes=SMALL)
+    assert {r.feature for r in done.importance.collect()} == {"id", *names} - {"label"}
+
+
+def test_too_many_classes_are_refused(spark):
+    df = spark.range(models.MAX_CLASSES + 5).selectExpr("id", "CAST(id AS STRING) AS c")
+    with pytest.raises(ValueError, match="classes"):
+        models.labelled(df, "c", models.CLASSIFICATION)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tabscope import class_weights, random_split, sample_exact, stratified_split
 from tabscope.operators.sampling import permuted
+from tabscope.operators import sampling
 
 
 def position(key, seed=42):
@@ -67,3 +68,12 @@ def test_permutation_mixes(spark):
     df = spark.range(20000).selectExpr("id", f"{permuted('id', 20000, 42, 0)} AS p", f"{permuted('id', 20000, 42, 1)} AS q")
     row = df.agg(F.corr("id", "p").alias("a"), F.corr("p", "q").alias("b"), F.count_if(F.expr("id = p")).alias("fixed")).first()
     assert abs(row.a) < 0.03 and abs(row.b) < 0.03 and row.fixed < 12
+
+
+def test_many_groups_split_a_hot_one(spark, monkeypatch):
+    """Edges that are too many to broadcast: the hot group's edge is broadcast, the others are shuffled, the result is the same."""
+    df = spark.range(4000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 50 END AS _group", "id AS _hash")
+    want = sorted(map(tuple, sampling.stratified_split(df, "_group", 0.25, ["id"]).collect()))
+    monkeypatch.setattr(sampling, "BROADCAST_GROUPS", 2)
+    monkeypatch.setattr(sampling, "HEAVY_SHARE", 10)
+    assert sorted(map(tuple, sampling.stratified_split(df, "_group", 0.25, ["id"]).collect())) == want
