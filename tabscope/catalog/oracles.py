@@ -34,14 +34,15 @@ def _column_facts(r: Relation, i: int, c: str, kind: str, frequencies: bool, ste
         low_text, high_text = _time_text(f"min({c})"), _time_text(f"max({c})")
     if kind == "string":
         boolean_share = f"avg((lower(trim({c})) IN {TOKENS})::INT)::DOUBLE"
-        rates = [f"avg((try_strptime({c}, '{f}') IS NOT NULL)::INT) FILTER ({c} IS NOT NULL)" for f in FORMATS]
+        formats = [(f, 0) for f in FORMATS] + list(r.formats)
+        rates = [f"avg((try_strptime({c}, '{f}') IS NOT NULL)::INT) FILTER ({c} IS NOT NULL)" for f, _ in formats]
         wins = " ".join(f"WHEN {x} >= 0.9 THEN {x}" for x in rates)
         rate = f"coalesce(CASE {wins} ELSE greatest({', '.join(rates)}) END, 0)::DOUBLE"
         all_dates = f"coalesce(greatest({', '.join(rates)}) = 1, true)"
         for edge, fn in (("low", "min"), ("high", "max")):
             cases = " ".join(
-                f"WHEN {x} >= 0.9 THEN strftime({fn}(try_strptime({c}, '{f}')), '%Y-%m-%d %H:%M:%S') || '+00:00'"
-                for x, f in zip(rates, FORMATS))
+                f"WHEN {x} >= 0.9 THEN {_time_text(f"({fn}(try_strptime({c}, '{f}')) - to_minutes({shift}))")} || '+00:00'"
+                for x, (f, shift) in zip(rates, formats))
             if edge == "low":
                 low_text = f"CASE {cases} END"
             else:
@@ -212,11 +213,11 @@ _SUGGESTED = f"""WITH base AS (SELECT event_id, {NAME_SQL} AS name, printf('0.%0
 
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
-    for t in [*SCHEMAS, "orders_gaps", "orders_text_dates", "orders_flags"]:
+    for t in [*SCHEMAS, "orders_gaps", "orders_text_dates", "orders_more_dates", "orders_flags"]:
         sql[f"profile_{t}"] = profile_sql(t)
     for t in [*FLAT, "orders_gaps"]:
         sql[f"heuristic_scores_{t}"] = heuristic_scores_sql(t)
-    for t in [*RANKED, "orders_gaps"]:
+    for t in [*RANKED, "orders_gaps", "orders_text_dates", "orders_more_dates"]:
         sql[f"target_ranking_{t}"] = ranking_sql(t)
     for t in ("lineitem", "events"):
         sql[f"profile_approximate_{t}"] = facts(RELATIONS[t]) + (

@@ -393,13 +393,13 @@ def _auto_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for t in [*SCHEMAS, "orders_gaps", "orders_text_dates", "orders_flags"]:
+    for t in [*SCHEMAS, "orders_gaps", "orders_text_dates", "orders_more_dates", "orders_flags"]:
         out[f"profile_{t}"] = partial(_profile, t)
     for t in ("lineitem", "events"):
         out[f"profile_approximate_{t}"] = partial(_profile_approximate, t)
     for t in [*FLAT, "orders_gaps"]:
         out[f"heuristic_scores_{t}"] = partial(_heuristic_scores, t)
-    for t in [*RANKED, "orders_gaps"]:
+    for t in [*RANKED, "orders_gaps", "orders_text_dates", "orders_more_dates"]:
         out[f"target_ranking_{t}"] = partial(_target_ranking, t)
     for t in ("orders", "part", "documents", "lineitem"):
         out[f"dominance_entropy_{t}"] = partial(_dominance_entropy, t)

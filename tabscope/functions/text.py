@@ -27,6 +27,10 @@ DATE_FORMATS = [
 ]
 DATE_SHARE = 0.9
 
+# Month names, their three-letter forms, and weekday names, as they occur in dates.
+MONTHS = "january february march april may june july august september october november december".split()
+WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
+
 NAME_PREFIX_BONUS = (["is_", "has_", "was_", "will_"], 2.5)
 NAME_WORD_SCORES = [
     (["churn", "default", "fraud", "spam", "success", "win", "lose", "click", "convert", "closed", "won", "lost"], 3.0),
@@ -41,7 +45,14 @@ ID_MARKERS = ["id", "uuid", "guid", "code", "pk", "hash", "no", "number", "index
 ID_NOTE_NAMES = ["id", "uuid", "pk", "primary_key"]
 # ---------------------------------------------------------------------------------------------
 
-MAX_DATE_LENGTH = 24
+# Dates in other forms are read by the shape of the text: every part of it becomes a token, and only the tokens count.
+#   Y four digits   N one or two digits   C eight digits   B a month's name   .F a fraction of a second   P am or pm   Z a zone
+# A shape names its format but for one choice: of two small numbers before a year, the month or the day may come first.
+DATE_SHAPES = (r"^(?:Y([-/.])N\1N|C|N([-/.])N\2[YN]|N[ -]B,?[ -]Y|B N,? Y)"
+               r"(?:[T ]N:N(?::N(?:\.F)?)?P?Z?)?$")
+MONTH_FIRST, DAY_FIRST = len(DATE_FORMATS), len(DATE_FORMATS) + 1  # readings of such shapes, after the listed formats
+#: Text longer than this is grouped by its digest before it is looked at; no shape is as long.
+MAX_DATE_LENGTH = 64
 
 
 def is_boolean_token(ref: str) -> str:
@@ -58,9 +69,61 @@ def parsed_date(ref: str, format_index: int) -> str:
     return f"CASE WHEN {ref} RLIKE r'{shape}' THEN try_to_timestamp({ref}, r\"{pattern}\") END"
 
 
+def _names(words: list[str], tail: str) -> str:
+    return "(?i)(?:" + "|".join(f"{w[:3]}(?:{w[3:]})?" if w[3:] else w for w in words) + ")" + tail
+
+
+def date_shape(ref: str) -> str:
+    """The tokens of a text; NULL where a listed format has the text's shape."""
+    steps = [(_names(WEEKDAYS, r"\.?,? "), "", "^"), (_names(MONTHS, r"\b\.?"), "B", r"(?<![A-Za-z])"),
+             (r"(:[0-9]{2}(?:\.[0-9]{1,9})?(?: ?[AaPp][Mm])?) ?(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$", "$1Z", ""),
+             (r"(:[0-9]{2}:[0-9]{2})\.[0-9]{1,9}", "$1.F", ""), (r"(:[0-9]{2}(?:\.F)?) ?[AaPp][Mm]", "$1P", ""),
+             (r"(?<![0-9])[0-9]{8}(?![0-9])", "C", ""), (r"(?<![0-9])[0-9]{4}(?![0-9])", "Y", ""), (r"(?<![0-9])[0-9]{1,2}(?![0-9])", "N", "")]
+    shape = ref
+    for pattern, token, before in steps:
+        shape = f'regexp_replace({shape}, r"{before}{pattern}", "{token}")'
+    listed = " OR ".join(f"{ref} RLIKE r'{form}'" for _, form in dict((f, (None, f)) for _, f in DATE_FORMATS).values())
+    return f"CASE WHEN NOT ({listed}) THEN {shape} END"
+
+
+def shaped_date(ref: str, shape: str, reading: int) -> str:
+    """Timestamp of a text of one of :data:`DATE_SHAPES`, NULL where it is no date; zones are taken off."""
+    digits = f"regexp_extract_all(CASE WHEN {shape} LIKE 'C%' THEN concat_ws(' ', left({ref}, 4), substr({ref}, 5, 2), substr({ref}, 7)) ELSE {ref} END, '[0-9]+', 0)"
+
+    def part(i: str) -> str:
+        return f"try_cast(get(n, {i}) AS INT)"
+
+    name = f'lower(left(regexp_extract({ref}, r"(?<![A-Za-z]){_names(MONTHS, "")}", 0), 3))'
+    month = f"CAST((instr('{''.join(m[:3] for m in MONTHS)}', {name}) + 2) div 3 AS INT)"
+    # Places of year, month and day among the numbers; a month's name is none of them.
+    order = {MONTH_FIRST: (0, 1), DAY_FIRST: (1, 0)}[reading]
+    named, year_first = f"{shape} LIKE '%B%'", f"({shape} LIKE 'Y%' OR {shape} LIKE 'C%')"
+    year = f"CASE WHEN {named} THEN {part('1')} WHEN {year_first} THEN {part('0')} ELSE {part('2')} END"
+    short = f"{ref} RLIKE '^[0-9]+.[0-9]+.[0-9]{{2}}(?![0-9])'"  # a short year has two digits
+    full = f"CASE WHEN {shape} NOT RLIKE '^N.N.N' THEN year WHEN {short} THEN year + IF(year < 69, 2000, 1900) END"
+    months = f"CASE WHEN {named} THEN {month} WHEN {year_first} THEN {part('1')} ELSE {part(str(order[0]))} END"
+    days = f"CASE WHEN {named} THEN {part('0')} WHEN {year_first} THEN {part('2')} ELSE {part(str(order[1]))} END"
+    at = f"CASE WHEN {named} THEN 2 ELSE 3 END"
+    hour = (f"CASE WHEN {shape} NOT LIKE '%:%' THEN 0 WHEN {shape} NOT LIKE '%P%' THEN {part('t')} "
+            f"WHEN {part('t')} BETWEEN 1 AND 12 THEN {part('t')} % 12 + IF(lower({ref}) RLIKE '[0-9] ?pm', 12, 0) END")
+    minute = f"IF({shape} LIKE '%:%', {part('t + 1')}, 0)"
+    second = f"IF({shape} LIKE '%:N:N%', {part('t + 2')}, 0)"
+    fraction = f"IF({shape} LIKE '%.F%', try_cast(concat('0.', left(get(n, t + 3), 6)) AS DECIMAL(8, 6)), 0)"
+    zone = f"regexp_extract({ref}, '[+-][0-9]{{2}}:?[0-9]{{2}}$', 0)"
+    shift = (f"IF({shape} LIKE '%Z' AND {zone} <> '', IF(left({zone}, 1) = '-', -1, 1) * "
+             f"(60 * CAST(substr({zone}, 2, 2) AS INT) + CAST(right({zone}, 2) AS INT)), 0)")
+    applies = f"{shape} RLIKE '^N.N.[YN]'" if reading == DAY_FIRST else "true"
+    # A one-element transform gives a part a name.
+    whole = (f"timestampadd(MINUTE, -({shift}), try_make_timestamp({full}, {months}, {days}, {hour}, {minute}, "
+             f"IF({second} < 60, {second} + {fraction}, NULL)))")
+    inner = f"transform(array({at}), t -> transform(array({year}), year -> {whole})[0])[0]"
+    return f"CASE WHEN {applies} THEN transform(array({digits}), n -> {inner})[0] END"
+
+
 def looks_like_date(ref: str) -> str:
-    """Cheap necessary condition for any of the listed formats."""
-    return f"(length({ref}) <= {MAX_DATE_LENGTH} AND {ref} RLIKE r'^[0-9]{{1,4}}[-/][0-9]')"
+    """Cheap necessary condition for any of the listed formats and shapes."""
+    begins = "|".join(w[:3] for w in MONTHS + WEEKDAYS)
+    return (f"(length({ref}) <= {MAX_DATE_LENGTH} AND {ref} RLIKE r'^(?:[0-9]{{1,4}}[-/. ][0-9A-Za-z]|[0-9]{{8}}(?:[T ]|$)|(?i:{begins}))')")
 
 
 def contains_word(text: Column, words: list[str]) -> Column:

@@ -75,20 +75,26 @@ def value_frequencies(df: DataFrame, ordinals: Sequence[int], rough: frozenset[i
 
 
 def frequency_counts(values: DataFrame, with_text_rules: bool) -> DataFrame:
-    """F(ordinal, cnt, reading, mult).
+    """F(ordinal, cnt, reading, shape, mult).
 
     Every value counts once under reading -1. Text that parses as a date counts again under each
-    format that reads it, with the earliest and latest date; reading -1 also counts boolean words.
+    listed format that reads it, else under its shape, month first and day first, with the earliest and
+    latest date; reading -1 also counts boolean words.
     """
     if not with_text_rules:
         return values.groupBy("ordinal", "cnt").agg(F.expr("count(1) AS mult"))
-    dates = ", ".join(f"named_struct('reading', {j}, 'date', {tx.parsed_date('value', j)})" for j in FORMATS)
-    plain = "array(named_struct('reading', -1, 'date', CAST(NULL AS TIMESTAMP)))"
-    read = values.selectExpr(
-        "ordinal", "cnt", f"({tx.is_boolean_token('value')} OR length(value) > {DIGEST_OVER} AND endswith(value, '!')) AS word",
-        f"inline(CASE WHEN {tx.looks_like_date('value')} THEN concat({plain}, filter(array({dates}), d -> d.date IS NOT NULL)) "
-        f"ELSE {plain} END)")
-    return read.groupBy("ordinal", "cnt", "reading").agg(
+    listed = [f"named_struct('reading', {j}, 'shape', '', 'date', {tx.parsed_date('value', j)})" for j in FORMATS]
+    shaped = [f"named_struct('reading', {j}, 'shape', shape, 'date', {tx.shaped_date('value', 'shape', j)})" for j in (tx.MONTH_FIRST, tx.DAY_FIRST)]
+    plain = "array(named_struct('reading', -1, 'shape', '', 'date', CAST(NULL AS TIMESTAMP)))"
+    looked = values.selectExpr(
+        "ordinal", "cnt", "value", f"({tx.is_boolean_token('value')} OR length(value) > {DIGEST_OVER} AND endswith(value, '!')) AS word",
+        f"{tx.looks_like_date('value')} AS near")
+    told = looked.withColumn("shape", F.expr(f"CASE WHEN near THEN {tx.date_shape('value')} END"))
+    dates = (f"CASE WHEN NOT near THEN {plain} WHEN shape IS NULL THEN concat({plain}, filter(array({', '.join(listed)}), d -> d.date IS NOT NULL)) "
+             f"WHEN shape RLIKE r'{tx.DATE_SHAPES}' THEN concat({plain}, filter(array({', '.join(shaped)}), d -> d.date IS NOT NULL)) ELSE {plain} END")
+    # The shapes that pass are few, whatever the values: the grammar is finite.
+    read = told.selectExpr("ordinal", "cnt", "word", f"inline({dates})")
+    return read.groupBy("ordinal", "cnt", "reading", "shape").agg(
         F.expr("count(1) AS mult"), F.expr("count_if(word AND reading = -1) AS words"),
         F.expr("min(date) AS earliest"), F.expr("max(date) AS latest"))
 
@@ -102,7 +108,7 @@ def _column_stats(counts: DataFrame, with_text_rules: bool) -> DataFrame:
     every = "reading = -1" if with_text_rules else "true"
     sized = counts.selectExpr("*", f"sum(CASE WHEN {every} THEN cnt * mult END) OVER (PARTITION BY ordinal) AS n_present")
     share = "(cnt / n_present)"
-    keys = ["ordinal", "n_present", "reading"] if with_text_rules else ["ordinal", "n_present"]
+    keys = ["ordinal", "n_present", "reading", "shape"] if with_text_rules else ["ordinal", "n_present"]
     aggregates = ["sum(mult) AS n_unique", f"max({share}) AS dominance",
                   f"sum(-mult * {share} * log2({share} + {LOG_FLOOR!r}D)) AS bits"]
     if with_text_rules:
@@ -115,12 +121,14 @@ def _column_stats(counts: DataFrame, with_text_rules: bool) -> DataFrame:
             "ordinal", "n_unique", "dominance", entropy, "CAST(NULL AS DOUBLE) AS boolean_share",
             "CAST(NULL AS DOUBLE) AS parse_rate", "CAST(NULL AS BOOLEAN) AS all_dates",
             "CAST(NULL AS TIMESTAMP) AS parsed_min", "CAST(NULL AS TIMESTAMP) AS parsed_max")
-    # At most one row per format is left: the first format that reads enough values wins.
+    # At most one row per format and shape is left. The first listed format that reads enough values wins, else the shape and
+    # order that read most; of equal ones the month comes first.
+    rank = (f"struct(least(reading, {tx.MONTH_FIRST}) AS a, CASE WHEN reading < {tx.MONTH_FIRST} THEN 0D ELSE -rate END AS b, reading AS c, shape AS d)")
     wins = f"reading >= 0 AND rate >= {tx.DATE_SHARE}D"
     whole = ", ".join(f"max({c}) FILTER (WHERE reading = -1) AS {c}" for c in ("n_unique", "dominance", "bits", "boolean_share"))
     return _grouped(stats, ["ordinal"], [
         whole,
-        f"min_by(struct(rate, earliest, latest), reading) FILTER (WHERE {wins}) AS won",
+        f"min_by(struct(rate, earliest, latest), {rank}) FILTER (WHERE {wins}) AS won",
         "max(rate) FILTER (WHERE reading >= 0) AS best",
     ]).selectExpr(
         "ordinal", "n_unique", "dominance", entropy, "boolean_share", "coalesce(won.rate, best, 0D) AS parse_rate",

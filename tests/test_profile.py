@@ -69,6 +69,32 @@ def test_day_first_wins_when_both_read_enough(spark):
     assert p.datetime_parse_rate == 0.9 and p.min_value.startswith("2024-02-01") and p.all_dates
 
 
+@pytest.mark.parametrize("values, first", [
+    (["2024/01/31", "2023/12/01"], "2023-12-01 00:00:00"), (["31.01.2024", "01.02.2024"], "2024-01-31 00:00:00"),
+    (["01/02/24 10:00", "02/13/24 11:30"], "2024-01-02 10:00:00"), (["Jan 5, 2024", "September 30, 2024"], "2024-01-05 00:00:00"),
+    (["Mon, 05 Feb 2024 10:11:12 GMT"], "2024-02-05 10:11:12"), (["20240131"], "2024-01-31 00:00:00"), (["5 may 1999"], "1999-05-05 00:00:00"),
+    (["2024-01-31 10:11:12.25"], "2024-01-31 10:11:12.250000"), (["2024-01-31T23:30:00-05:30"], "2024-02-01 05:00:00"),
+    (["01/02/2024 12:05 AM", "01/02/2024 12:05 pm"], "2024-01-02 00:05:00"), (["3-Mar-2024 7:00"], "2024-03-03 07:00:00"), (["07.08.69"], "1969-07-08 00:00:00")])
+def test_dates_by_shape(spark, values, first):
+    p = by_column(strings(spark, values))["s"]
+    assert (p.semantic_type, p.datetime_parse_rate, p.min_value, p.all_dates) == ("datetime", 1.0, first + "+00:00", True)
+
+
+@pytest.mark.parametrize("values", [
+    ["2024/13/31"], ["31.02.2024"], ["Janet 5, 2024"], ["2024-01-31 25:00"], ["2024-01/31"], ["99999999"], ["1.2.3"], ["Y-N-N"], ["B N, Y"], ["March"],
+    ["13/01/2024 13:05 PM"], ["1234567"], ["10:30"], ["12345678901"], ["May be 5, 2024"]])
+def test_text_that_only_looks_like_dates(spark, values):
+    assert by_column(strings(spark, values))["s"].datetime_parse_rate == 0
+
+
+def test_one_shape_has_to_read_the_column(spark):
+    """Day or month order is settled over the whole column, and shapes are not mixed."""
+    p = by_column(strings(spark, ["01.02.2024"] * 19 + ["25.02.2024"]))["s"]
+    assert p.datetime_parse_rate == 1.0 and p.min_value.startswith("2024-02-01")
+    p = by_column(strings(spark, ["2024/02/01"] * 6 + ["Feb 1, 2024"] * 4))["s"]
+    assert p.datetime_parse_rate == 0.6 and not p.all_dates and p.semantic_type != "datetime"
+
+
 def test_bare_years_and_impossible_dates_are_text(spark):
     assert by_column(strings(spark, ["2024", "2023"]))["s"].datetime_parse_rate == 0
     assert by_column(strings(spark, ["2024-02-30"]))["s"].datetime_parse_rate == 0
