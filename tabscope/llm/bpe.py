@@ -253,24 +253,24 @@ _LAST = 1 << 21
 def _symbols(spelled: dict[int, list[int]], size: int) -> dict[str, np.ndarray]:
     """Tables that read symbols: arcs (node << 22 | symbol) and where they lead, failure links, and tokens by length."""
     to: dict[int, int] = {}
-    children: list[list[tuple[int, int]]] = [[]]
     token_at: list[int] = [-1]
     for token, codes in spelled.items():
         node = 0
         for code in codes:
             key = node << 22 | code
             if (after := to.get(key)) is None:
-                after = to[key] = len(children)
-                children[node].append((code, after))
-                children.append([])
+                after = to[key] = len(token_at)
                 token_at.append(-1)
             node = after
         token_at[node] = token
-    fail, longest, queue = [0] * len(children), token_at[:], [0]
+    arcs = sorted(to)  # by node
+    nodes = np.array(arcs, np.int64) >> 22
+    starts = np.searchsorted(nodes, np.arange(len(token_at) + 1)).tolist()
+    fail, longest, queue = [0] * len(token_at), token_at[:], [0]
     shorter, length = np.full(size, -1, np.int64), np.ones(size, np.int64)
     for node in queue:  # breadth first, so that shorter suffixes are ready
-        for code, child in children[node]:
-            link = fail[node]
+        for key in arcs[starts[node]:starts[node + 1]]:
+            child, code, link = to[key], key & (1 << 22) - 1, fail[node]
             while node and link and (link << 22 | code) not in to:
                 link = fail[link]
             fail[child] = to.get(link << 22 | code, 0) if node else 0
@@ -279,7 +279,6 @@ def _symbols(spelled: dict[int, list[int]], size: int) -> dict[str, np.ndarray]:
             else:
                 longest[child] = longest[fail[child]]
             queue.append(child)
-    arcs = sorted(to)
     return {"arcs": np.array([*arcs, 1 << 62], np.int64), "to": np.array([*map(to.__getitem__, arcs), 0], np.int64), "fail": np.array(fail, np.int64),
             "longest": np.array(longest, np.int64), "shorter": shorter, "length": length}
 

@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 from tabscope.llm.common import join_groups, written
 
 
-def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+#: Edges of one vertex that a task gets in any case.
+HUB = 1_000
+
+
+def _large_star(edges: DataFrame, n_edges: int, degree: int) -> DataFrame:
     """Link the larger neighbours of each vertex to the smallest of it and its neighbours.
 
-    A vertex with a large share of the edges, as the centre of a star has, is broadcast; its edges stay where they are.
+    If some vertex has many edges, as the centre of a star has, the vertices with a large share of all edges are broadcast,
+    and their edges stay where they are.
     """
     both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("k"))
-    return join_groups(both.where("v > u"), least, "u", "k", n_edges).selectExpr("v AS u", "m AS v").distinct()
+    larger = both.where("v > u")
+    met = join_groups(larger, least, "u", "k", n_edges) if degree > HUB else larger.join(least, "u")
+    return met.selectExpr("v AS u", "m AS v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -29,20 +36,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.unionByName(least.selectExpr("u", "m AS v")).where("u <> v").distinct()
 
 
-def _look(edges: DataFrame) -> tuple[int, bool]:
-    """The number of edges, and whether some vertex has two smaller neighbours, or a smaller and a larger one; u > v."""
+def _look(edges: DataFrame) -> tuple[int, int, bool]:
+    """The edges, the most of one vertex, and whether one has two smaller neighbours, or a smaller and a larger one; u > v."""
     ends = edges.select(F.explode(F.expr("array(struct(u AS id, 1 AS down), struct(v AS id, 0 AS down))")).alias("end"))
-    counts = ends.groupBy("end.id").agg(F.sum("end.down").alias("down"), F.min("end.down").alias("least"))
-    seen = counts.agg(F.sum("down").alias("n"), F.max(F.expr("down > 1 OR down = 1 AND least = 0")).alias("more")).head()
-    return seen.n or 0, bool(seen.more)
+    counts = ends.groupBy("end.id").agg(F.sum("end.down").alias("down"), F.min("end.down").alias("least"),
+                                           F.count(F.lit(1)).alias("k"))
+    seen = counts.agg(F.sum("down").alias("n"), F.max("k").alias("k"), F.max(F.expr("down > 1 OR down = 1 AND least = 0")).alias("more")).head()
+    return seen.n or 0, seen.k or 0, bool(seen.more)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component_id) for every end of the links (a, b): the smallest number that links reach from it."""
     edges = written(links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u <> v").distinct())
-    n_edges, more = _look(edges)
+    n_edges, degree, more = _look(edges)
     while more:
-        edges = written(_small_star(_large_star(edges, n_edges)))
-        n_edges, more = _look(edges)
+        edges = written(_small_star(_large_star(edges, n_edges, degree)))
+        n_edges, degree, more = _look(edges)
     tops = edges.selectExpr("v AS id", "v AS component_id").distinct()
     return edges.selectExpr("u AS id", "v AS component_id").unionByName(tops)

@@ -274,6 +274,21 @@ def _by_region(rows: DataFrame, *further: str) -> DataFrame:
     return rows.repartition(spread, *_REGION).sortWithinPartitions(*_REGION, *further)
 
 
+def _heavy_regions(whole: DataFrame, n_rows: int) -> DataFrame | None:
+    """(tree, key, parts) of regions with more rows than one task should hold, copies included; None without any.
+
+    Rows are counted by buckets of keys first, so few of them that little is shuffled; only keys of full buckets are counted themselves.
+    """
+    most = max(LEAST_HEAVY, n_rows // HEAVY_SHARE)
+    keys = whole.select(F.posexplode("keys").alias("tree", "key")).withColumn("bucket", F.expr(f"pmod(key, {max(16, 4 * n_rows // most)})"))
+    full = written(keys.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).drop("size"))
+    if full.isEmpty():
+        return None
+    sizes = keys.join(F.broadcast(full), ["tree", "bucket"], "left_semi").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"))
+    heavy = written(sizes.where(F.col("size") > most).selectExpr("tree", "key", f"ceil(size / {most}) AS parts"))  # at most TREES * HEAVY_SHARE
+    return None if heavy.isEmpty() else heavy
+
+
 def _dealt(live: DataFrame, comps: DataFrame, n_rows: int) -> DataFrame:
     """The rows with their component and the part of their region: 0 but in heavy regions."""
     rows = live.join(comps.selectExpr("id", "component_id AS comp"), "id", "left").withColumn("comp", F.expr("coalesce(comp, id)"))
@@ -459,14 +474,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labels = classes.select("id", F.expr("f.s0 AS s0"), F.expr("f.s1 AS s1"), F.posexplode(F.expr("arrays_zip(f.keys, f.orders)")).alias("tree", "l"))
     rows = labels.selectExpr("tree", "l.keys AS key", "id", "l.orders AS ord", "s0", "s1")
     n_rows = signed.count()
-    most = max(LEAST_HEAVY, n_rows // HEAVY_SHARE)
-    heavy = written(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most))  # at most TREES * HEAVY_SHARE
-    rows = rows.join(F.broadcast(heavy), ["tree", "key"], "left").withColumn(
-        "part", F.expr(f"CASE WHEN size IS NULL THEN -1 ELSE CAST(pmod(xxhash64(id), ceil(size / {most})) AS INT) END")).drop("size")
+    heavy = _heavy_regions(whole, n_rows)
+    if heavy is None:
+        rows = rows.withColumn("part", F.lit(-1))
+    else:
+        rows = rows.join(F.broadcast(heavy), ["tree", "key"], "left").withColumn(
+            "part", F.expr("CASE WHEN parts IS NULL THEN -1 ELSE CAST(pmod(xxhash64(id), parts) AS INT) END")).drop("parts")
     live = written(_by_region(rows, "ord", "id").select("tree", "key", "part", "id", "ord", "s0", "s1").mapInArrow(
         _neighbours, "tree int, key long, part int, id long, s0 long, s1 long, least long"))
     links = live.where("least < id").selectExpr("id AS a", "least AS b")
-    if not heavy.isEmpty():
+    if heavy is not None:
         region = ["tree", "key", "part"]
         mains = live.where("part >= 0").groupBy(*region, "least").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("id", "s0", "s1"), "id").alias("r"))
         mains = mains.groupBy(*region).agg(F.max_by("r", F.struct("k", "least")).alias("r")).select(*region, "r.*")
