@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.functions.values import WHOLE_SHAPE, coerced_number, positional, quoted, stripped
+from tabscope.sources.records import records
 
 # --- fixed values ----------------------------------------------------------------------------
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
@@ -16,36 +17,26 @@ BOOLEAN_LITERALS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 COLUMNS_PER_PASS = 100
 
 
-def has_multiline_values(spark: SparkSession, path: str) -> bool:
-    """Some line holds an odd number of quotes, so a quoted value runs over its end."""
-    odd = F.expr("(length(value) - length(replace(value, '\"', ''))) % 2 = 1")
-    return spark.read.text(path).where(odd).limit(1).count() > 0
-
-
-def read_csv(spark: SparkSession, path: str, infer: bool = True, na_tokens: list[str] | None = None,
-             multi_line: bool | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True, na_tokens: list[str] | None = None) -> DataFrame:
     """CSV with a header; missing-value words become NULL and columns get the narrowest type that fits all values.
 
-    Files with line breaks inside values can not be split among tasks, so that mode is used only
-    where it is needed: by default one scan looks for such values. Missing files raise, and so do
-    records with a value beyond the header's last column (when read: at once with ``infer``); records
-    that end early are filled with NULL.
+    Values may hold line breaks; files are split among tasks all the same (see :mod:`tabscope.sources.records`).
+    Missing files raise, and so do records with a value beyond the header's last column, when read: at once with
+    ``infer``, else by whatever column is read. Records that end early are filled with NULL.
     """
-    if multi_line is None:
-        multi_line = has_multiline_values(spark, path)
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
-    raw = _without_surplus(spark, path, spark.read.csv(path, **options).columns, options)
-    table = without_na_words(raw, na_tokens)
+    header = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).columns  # reads one record
+    table = without_na_words(_parsed(records(spark, path), header), na_tokens)
     return inferred(table) if infer else table
 
 
-def _without_surplus(spark: SparkSession, path: str, header: list[str], options: dict) -> DataFrame:
-    """The file's columns as text; the first one raises where a record has a value after the last."""
+def _parsed(rows: DataFrame, header: list[str]) -> DataFrame:
+    """The fields of each record as text; all of them raise where a record has a value after the last."""
     names = [f"c{i}" for i in range(len(header))]
-    cells = spark.read.csv(path, schema=", ".join(f"{c} string" for c in [*names, "surplus"]), **options)
+    schema = ", ".join(f"{c} string" for c in [*names, "surplus"])
+    cells = F.from_csv("record", schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"})
     message = f"a record has more than the {len(header)} fields of the header"
-    checked = F.when(F.col("surplus").isNotNull(), F.raise_error(F.lit(message)).cast("string")).otherwise(F.col("c0"))
-    return cells.select(checked.alias("c0"), *names[1:]).toDF(*header)
+    checked = F.when(F.col("r.surplus").isNull(), F.col("r")).otherwise(F.raise_error(F.lit(message)).cast(f"struct<{schema.replace(' string', ': string')}>"))
+    return rows.select(cells.alias("r")).select(checked.alias("r")).select(*[f"r.{c}" for c in names]).toDF(*header)
 
 
 def without_na_words(df: DataFrame, na_tokens: list[str] | None = None) -> DataFrame:
