@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.llm.common import Remembered, by_value, slices
+from tabscope.llm.common import Remembered, by_value, give_back, slices
 
 #: Chunks that a worker remembers in each of two generations, and symbols that it encodes at a time.
 REMEMBERED, AT_ONCE = 100_000, 1 << 20
@@ -119,7 +119,7 @@ class _Gadgets:
             ends.append(row[:, 1])
         low, high = np.concatenate([nothing[:, 0], *starts]), np.concatenate([nothing[:, 1], *ends])
         order = low.argsort()
-        return place, low[order], high[order]
+        return place, low[order].astype(np.int64), high[order].astype(np.int64)
 
 
 def _united(runs: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ class TokenAutomaton:
     """
 
     def __init__(self, tables: dict):
-        self.tables, self.labels = tables, tables["labels"]
+        self.tables = tables
 
     @classmethod
     def compiled(cls, vocabulary: dict[str, int], merges: list[tuple[str, str]], word_end: str = "") -> TokenAutomaton:
@@ -163,7 +163,8 @@ class TokenAutomaton:
             spelled[i] = [ord(c) for c in (labels[i].removesuffix(word_end) if last else labels[i])]
             if last:
                 spelled[i][-1] += _LAST
-        return cls({"labels": labels, "place": place, "low": low, "high": high, "ends": bool(word_end)} | _symbols(spelled, size))
+        # One string of all labels: many small objects would keep the memory of the construction from being given back.
+        return cls({"labels": _BETWEEN.join(labels), "place": place, "low": low, "high": high, "ends": bool(word_end)} | _symbols(spelled, size))
 
     def _is_open(self, states: np.ndarray, arcs: np.ndarray) -> np.ndarray:
         t = self.tables
@@ -246,6 +247,8 @@ class TokenAutomaton:
         return np.frombuffer(self.encode_all([word])[0], "<i4").tolist()
 
 
+#: Between two labels; no label holds it.
+_BETWEEN = "\0"
 #: Added to the code of a word's last symbol, where the vocabulary tells it from the same symbol inside.
 _LAST = 1 << 21
 
@@ -293,16 +296,22 @@ def byte_symbols() -> list[str]:
 @functools.lru_cache(2)
 def compiled(path: str) -> dict:
     """The tables of a vocabulary file with word ends."""
+    tables = _compiled(path)
+    give_back()
+    return tables
+
+
+def _compiled(path: str) -> dict:
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
     bpe, special = model["model"], {t["content"]: t["id"] for t in model["added_tokens"]}
     pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in bpe["merges"]]
     tables = TokenAutomaton.compiled(bpe["vocab"], pairs, bpe["end_of_word_suffix"] or "").tables
-    labels = tables["labels"]
+    labels = tables["labels"].split(_BETWEEN)
     labels += [""] * (max(special.values(), default=-1) + 1 - len(labels))
     for label, i in special.items():
         labels[i] = label
-    return tables | {"special": special, "split": model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], "path": path}
+    return tables | {"labels": _BETWEEN.join(labels), "special": special, "split": model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], "path": path}
 
 
 #: Marks of words that are no chunk of a plain text, and of special tokens; neither begins a chunk.
@@ -319,7 +328,7 @@ class Codec:
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._split = regex.compile(tables["split"]).findall
         self._plain = re.compile(r"[\t\n\r\x20-\x7E\xA0-\xFF]*").fullmatch
-        self._symbols, self._labels = byte_symbols(), pa.array(tables["labels"], pa.string())
+        self._symbols, self._labels = byte_symbols(), pa.array(tables["labels"].split(_BETWEEN), pa.string())
         self._letters = r"|[\p{L}]+|" in tables["split"]  # letters alone are one word then
         self._known, self._library = known, None
 
@@ -399,6 +408,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
             ids, texts = codec(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), ids, texts if decoded else pa.nulls(len(texts), pa.string())], names=["doc_id", "ids", "decoded"])
+        give_back()
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("decoded", T.StringType())])

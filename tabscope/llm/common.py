@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -87,6 +89,13 @@ class Remembered:
         self.young[key] = value
 
 
+def give_back() -> None:
+    """Return memory that is free in this process to the system: a Python worker, and the driver, outlive what filled it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about ``most`` bytes of text; one longer text makes a run of its own."""
     for batch in batches:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import HEAVY_SHARE, by_value, join_groups, sized, slices, written
+from tabscope.llm.common import HEAVY_SHARE, by_value, give_back, join_groups, sized, slices, written
 from tabscope.llm.components import components
 
 TREES = 32
@@ -138,6 +138,7 @@ def _signatures(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFram
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
                                              names=["id", "n", "digest", "keys", "orders", "s0", "s1"])
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
         run, "id long, n long, digest binary, keys array<long>, orders array<long>, s0 long, s1 long")
