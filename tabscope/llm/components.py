@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tabscope.llm.common import join_groups, written
 
 
-#: Edges of one vertex that a task gets in any case.
-HUB = 1_000
+#: Edges of one vertex that a task gets in any case: two numbers each.
+HUB = 20_000
 
 
 def _large_star(edges: DataFrame, n_edges: int, degree: int) -> DataFrame:
