@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tabscope.llm import (
-    bpe, exact_dedup, licenses, minhash_forest, personal_data, quality_classifier, quality_rules, queries, secrets, source_mixing, token_counts)
+    bpe, components, exact_dedup, licenses, minhash_forest, personal_data, quality_classifier, quality_rules, queries, secrets, source_mixing, token_counts)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _id int"
 RANKS = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -90,6 +90,26 @@ def test_near_heavy_regions(spark, rows, monkeypatch):
     assert got == components_of(rows, 2)
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and their joints, with the hubs' edges joined apart."""
+    draw = random.Random(3)
+    links = [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 240)] + [(draw.randint(300, 340), draw.randint(300, 340)) for _ in range(30)]
+    links += [(159, 240)]
+    parent = {v: v for pair in links for v in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    monkeypatch.setattr(components, "HUB", 1)
+    got = {r.id: r.component_id for r in components.components(spark.createDataFrame(links, "a long, b long")).distinct().collect()}
+    assert got == {v: find(v) for v in parent if any(a != b and v in (a, b) for a, b in links)}
+
+
 def test_regions_are_cut_where_prefixes_end():
     """A region of more than SMALL rows is cut at greater depth, only where it is crowded."""
     groups = [0x0001_0000_0000_0000] * 20 + [0x0002_0000_0000_0000] * 20 + [0x0001_0000_0000_0000, 0x0002_0000_0000_0000]
