@@ -174,5 +174,5 @@ def sanitised(docs: DataFrame, text: str = "text", **options) -> DataFrame:
              f"struct(z.end AS at, concat(a.o, array(substring(t, CAST(a.at + 1 AS INT), CAST(z.start - a.at AS INT)), {put})) AS o) END, "
              "a -> array_join(concat(a.o, array(substring(t, CAST(a.at + 1 AS INT)))), ''))")
     found = judged(docs, text=text, carried="struct(*)", whole=True, **options)
-    clean = found.select("carried.*", F.expr(f"CASE WHEN carried.`{text}` IS NOT NULL THEN {parts} END").alias("_clean"))
-    return clean.withColumn(text, F.col("_clean")).drop("_clean")
+    clean = F.expr(f"CASE WHEN carried.`{text}` IS NOT NULL THEN {parts} END")
+    return found.select(F.col("carried").withField(f"`{text}`", clean).alias("carried")).select("carried.*")
