@@ -258,6 +258,53 @@ def test_scans(spark):
     assert labels == {0: ([], 0.0, None), 1: ([], 0.0, None), 2: ([], 0.0, None), 3: (["apache-2.0", "reserved"], 1.0, 8), 4: (["cc-by"], 0.5, 1)}
 
 
+AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+MIT = f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. {AS_IS}"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: {0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {1}
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. {2} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NAMES = """3. Neither the name of Example Works GmbH nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""
+
+
+def test_whole_licences(spark):
+    """Accepted with all mandatory wording, whatever stands in the regions that may vary; refused with any word altered or left out."""
+    whole = {"mit-text": [MIT, MIT.replace("permission notice", "permission notice (including the next paragraph)"),
+                          MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "Example Works"), "x " * 200_000 + MIT + " y" * 200_000],
+             "bsd-2-clause": [BSD.format("1.", "2.", ""), BSD.format("*", "*", ""), BSD.format("(a)", "(b)", "").replace("\n", "\r\n * ")],
+             "bsd-3-clause": [BSD.format("1.", "2.", NAMES), BSD.format("-", "-", NAMES[3:])],
+             "isc": [ISC, ISC.replace("and/or", "and")]}
+    good = [(label, text) for label, texts in whole.items() for text in texts]
+    bad = []
+    for text in (MIT, BSD.format("1.", "2.", ""), BSD.format("1.", "2.", NAMES), ISC):
+        for word in ("copy|source", "notice", "software", "any", "damages", "this|the"):  # the last one of each stands outside the regions
+            last = [m.span() for m in re.finditer(rf"\b({word})\b", text, re.I)][-1]
+            bad += [f"{text[:last[0]]}altered{text[last[1]:]}", text[:last[0]] + text[last[1]:], text[:last[0]]]
+        bad += [text.replace("MERCHANTABILITY", "USEFULNESS"), text[:200]]
+    docs = table(spark, [(i, text) for i, text in enumerate([*(t for _, t in good), *bad])])
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scanned(docs).collect()}
+    assert found == {i: ([good[i][0]], 1.0) if i < len(good) else ([], 0.0) for i in range(len(good) + len(bad))}
+
+
 def test_random_keys_of_one_case(spark):
     keys = ["xkqzvjwhtrplmnbd", "QXZKVJWPTHRBNMLD", "KQZXJVWPTHRBNMLD0031", "XKQZ-VJWH-TRPL-MNBD"]
     plain = ["someVeryLongFunctionName", "GETTING_STARTED_GUIDE", "to_be_or_no_is_it", "2024-01-01_12-30-00", "-" * 40, "internationalisation"]
