@@ -271,8 +271,8 @@ def _joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_region(rows: DataFrame, *further: str) -> DataFrame:
-    spread = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(spread, *_REGION).sortWithinPartitions(*_REGION, *further)
+    """Whole regions in order; their partitions are coalesced by size, since each is a task, and a file when written."""
+    return rows.repartition(*_REGION).sortWithinPartitions(*_REGION, *further)
 
 
 def _heavy_regions(whole: DataFrame, n_rows: int) -> DataFrame | None:
