@@ -286,6 +286,27 @@ WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING O
 SOFTWARE."""
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = f"""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by
+any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+under copyright law. {AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")}"""
+
+
+def test_whole_licences_without_a_table():
+    scan = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    for label, text in (("zlib", ZLIB), ("unlicense", UNLICENSE)):
+        assert scan(f"before {text} behind")[5:] == ([label], 1.0)
+        assert scan(text.replace("software", "program"))[5:] == scan(text[:-20])[5:] == ([], 0.0)
+
+
 def test_whole_licences(spark):
     """Accepted with all mandatory wording, whatever stands in the regions that may vary; refused with any word altered or left out."""
     whole = {"mit-text": [MIT, MIT.replace("permission notice", "permission notice (including the next paragraph)"),
