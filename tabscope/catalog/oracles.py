@@ -287,6 +287,11 @@ def build() -> dict[str, str]:
         round(l_tax / (SELECT stddev_pop(l_tax) FROM lineitem), 6) AS tax FROM lineitem"""
     sql["onehot_apply"] = """SELECT p_partkey, d.slot::INT AS slot, (p_type = d.v)::INT::DOUBLE AS value FROM part,
         (SELECT v, row_number() OVER (ORDER BY v) - 1 AS slot FROM (SELECT DISTINCT p_type AS v FROM part)) d"""
+    sql["onehot_wide"] = """WITH r AS (SELECT 'lineitem' AS relation, l_orderkey::BIGINT AS row_key, l_linenumber::BIGINT AS line, l_shipdate::VARCHAR AS v FROM lineitem
+        UNION ALL SELECT 'orders', o_orderkey::BIGINT, 0::BIGINT, o_custkey::VARCHAR FROM orders),
+        d AS (SELECT relation, v, row_number() OVER (PARTITION BY relation ORDER BY v) - 1 AS slot, count(*) OVER (PARTITION BY relation) AS width
+          FROM (SELECT DISTINCT relation, v FROM r))
+        SELECT relation, row_key, line, slot::BIGINT AS slot, width::BIGINT AS width FROM r JOIN d USING (relation, v)"""
     sql["regression_metrics"] = """SELECT n::BIGINT AS n, round(1 - sse / sst, 6) AS r2, round(mae, 4) AS mae, round(sqrt(sse / n), 4) AS rmse FROM (
         SELECT count(*) AS n, sum((l_extendedprice - 1500 * l_quantity) ** 2) AS sse, var_pop(l_extendedprice) * count(*) AS sst,
         avg(abs(l_extendedprice - 1500 * l_quantity)) AS mae FROM lineitem)"""

@@ -245,6 +245,19 @@ def _onehot_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("p_partkey", F.posexplode(vector_to_array(prep.FEATURES)).alias("slot", "value"))
 
 
+def _onehot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of columns of thousands of values, as the feature vectors hold them."""
+    lines = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS row_key", "l_linenumber AS line", "l_shipdate AS value")
+    orders = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS row_key", "0 AS line", "CAST(o_custkey AS STRING) AS value")
+
+    def slots(df: DataFrame, name: str) -> DataFrame:
+        encoded = prep.fit_preparation(df, [], ["value"]).transform(df).withColumn("x", vector_to_array(prep.FEATURES))
+        return encoded.selectExpr(f"'{name}' AS relation", "CAST(row_key AS BIGINT) AS row_key", "CAST(line AS BIGINT) AS line",
+                                  "CAST(array_position(x, 1D) - 1 AS BIGINT) AS slot", "CAST(size(x) AS BIGINT) AS width")
+
+    return _union([slots(lines, "lineitem"), slots(orders, "orders")])
+
+
 def _regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     guess = _read(spark, sf_dir, "lineitem").selectExpr("l_extendedprice AS label", "1500 * l_quantity AS prediction")
     return metrics.regression_scores(guess).selectExpr("n", "round(r2, 6) AS r2", "round(mae, 4) AS mae", "round(rmse, 4) AS rmse")
@@ -356,7 +369,7 @@ def _bakeoff_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation importance of one linear model of the line price."""
-    df = _read(spark, sf_dir, "lineitem").drop("l_shipdate")
+    df = _read(spark, sf_dir, "lineitem")
     target = "l_extendedprice"
     data, _ = models.labelled(prep.with_target(df, target), target, models.REGRESSION)
     numeric, categorical = prep.feature_columns(df, target)
@@ -433,6 +446,7 @@ def build() -> dict[str, Query]:
         "impute_apply": _impute_apply,
         "scale_values": _scale_values,
         "onehot_apply": _onehot_apply,
+        "onehot_wide": _onehot_wide,
         "regression_metrics": _regression_metrics,
         "classification_metrics": _classification_metrics,
         "linear_fit": _linear_fit,

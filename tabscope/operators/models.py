@@ -131,8 +131,7 @@ def headline(task: str) -> str:
 
 
 def bake_off(df: DataFrame, target: str, task: str, numeric: list[str], categorical: list[str], seed: int = 42,
-             test_size: float = 0.2, key: list[str] | None = None, max_categories: int = 1000,
-             sizes: ModelSizes = ModelSizes()) -> BakeOff:
+             test_size: float = 0.2, key: list[str] | None = None, sizes: ModelSizes = ModelSizes()) -> BakeOff:
     """Fit every candidate on one split, score it on the test rows, keep the best (first on ties).
 
     ``df`` has no missing target. The preparation is fitted once, on the training rows, and its
@@ -149,7 +148,7 @@ def bake_off(df: DataFrame, target: str, task: str, numeric: list[str], categori
         split = stratified_split(data, LABEL, test_size, key, seed, flag)
     split = split.persist()
     train, test = split.where(f"NOT {flag}").drop(flag), split.where(flag).drop(flag)
-    preparation = fit_preparation(train, numeric, categorical, max_categories)
+    preparation = fit_preparation(train, numeric, categorical)
     n_train = train.count()
     train_vectors = vectors_of(preparation, train).persist()
     test_vectors = vectors_of(preparation, test).persist()
@@ -192,9 +191,9 @@ class Refit:
         return self.model.transform(self.preparation.assemble(encoded))
 
 
-def refit(df: DataFrame, outcome: BakeOff, seed: int = 42, max_categories: int = 1000, sizes: ModelSizes = ModelSizes()) -> Refit:
+def refit(df: DataFrame, outcome: BakeOff, seed: int = 42, sizes: ModelSizes = ModelSizes()) -> Refit:
     """Fit the winning candidate on all of ``df``, which carries ``label``."""
-    preparation = fit_preparation(df, outcome.preparation.numeric, outcome.preparation.categorical, max_categories)
+    preparation = fit_preparation(df, outcome.preparation.numeric, outcome.preparation.categorical)
     n_rows = df.count()
     vectors = vectors_of(preparation, df).persist()
     n_classes = len(outcome.labels.labels) if outcome.labels else 0

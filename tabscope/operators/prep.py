@@ -6,8 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,8 @@ from tabscope.functions.values import (
     reference,
     rendered,
 )
-from tabscope.operators.frequencies import frequency_stats, most_frequent, unpivoted
+from tabscope.operators.dictionary import Dictionary, dictionary, entry_of
+from tabscope.operators.frequencies import most_frequent, unpivoted
 
 FEATURES = "__model_features"
 # Values of one column that may be put in order in one task when its median is taken.
@@ -132,16 +132,18 @@ def imputed(df: DataFrame, numeric_fill: dict[str, float], text_fill: dict[str,
     return df.selectExpr(*_imputation(df, numeric_fill, text_fill, lambda c: reference(c)))
 
 
-def _imputation(df: DataFrame, numeric_fill: dict[str, float], text_fill: dict[str, str], name) -> list[str]:
+def _text_fills(df: DataFrame, text_fill: dict[str, str]) -> list[tuple[str, str]]:
+    """(column, SQL of its text without gaps)."""
     def literal(text: str) -> str:
-        escaped = text.replace("\\", "\\\\").replace("'", "\\'")
-        return "'" + escaped.replace("__THIS__", "__TH' 'IS__") + "'"  # a transformer's statement replaces that word
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return [(c, f"coalesce({rendered(reference(c), df.schema[c].dataType)}, {literal(v)})") for c, v in text_fill.items()]
 
+
+def _imputation(df: DataFrame, numeric_fill: dict[str, float], text_fill: dict[str, str], name) -> list[str]:
     numbers = [f"coalesce({as_double(reference(c), df.schema[c].dataType)}, {_number(v)}) AS {name(c)}"
                for c, v in numeric_fill.items()]
-    texts = [f"coalesce({rendered(reference(c), df.schema[c].dataType)}, {literal(v)}) AS {name(c)}"
-             for c, v in text_fill.items()]
-    return numbers + texts
+    return numbers + [f"{text} AS {name(c)}" for c, text in _text_fills(df, text_fill)]
 
 
 def spreads(df: DataFrame, columns: Sequence[str], population: bool = True) -> dict[str, float]:
@@ -170,13 +172,17 @@ def free_prefix(columns: Sequence[str]) -> str:
 
 @dataclass
 class Preparation:
-    """A fitted feature pipeline in two steps, and what became of each column.
+    """A fitted feature preparation in two steps, and what became of each column.
 
     ``encode`` turns every raw column into one slot column (a number or a one-hot vector), each
     from its own raw value alone; ``assemble`` joins the slots into the feature vector.
     """
 
-    encoder: PipelineModel
+    filled: list[str]
+    scaled: list[str]
+    texts: dict[str, str]
+    entries: Dictionary | None
+    onehot: OneHotEncoderModel | None
     assembler: VectorAssembler
     numeric: list[str]
     categorical: list[str]
@@ -184,7 +190,13 @@ class Preparation:
     skipped: dict[str, str] = field(default_factory=dict)
 
     def encode(self, df: DataFrame) -> DataFrame:
-        return self.encoder.transform(df)
+        rows = df.selectExpr("*", *self.filled).selectExpr("*", *self.scaled)
+        if self.onehot is None:
+            return rows
+        values = [*self.texts.values(), *(self.slots[c] for c in self.numeric)]
+        for i, (text, index) in enumerate(zip(self.texts.values(), self.onehot.getInputCols())):
+            rows = self.entries.look_up(rows, i, text, index, values)
+        return self.onehot.transform(rows)
 
     def assemble(self, encoded: DataFrame) -> DataFrame:
         return self.assembler.transform(encoded)
@@ -193,57 +205,34 @@ class Preparation:
         return self.assemble(self.encode(df))
 
 
-def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                    max_categories: int = 1000) -> Preparation:
+def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Preparation:
     """Median and mode imputation, scaling, one-hot encoding, one sparse vector: numbers first.
 
-    Columns without values are left out and listed in ``skipped``. Encoders keep every category on
-    the driver, so the values of a categorical column with more than ``max_categories`` of them share
-    that many slots by a hash; no column is left out for its width. Values (or, there, hashes) unseen
-    in training are encoded as all zeros.
+    Columns without values are left out and listed in ``skipped``. Every value of a categorical column has a slot of its
+    own, in text order (texts over 64 characters: in the order of their digests), whatever their number: they are
+    numbered and looked up on the executors. Values unseen in training are encoded as all zeros.
     """
-    number_fill = medians(train, numeric)
-    skipped = {c: "no values" for c in numeric if c not in number_fill}
-    n_values = _category_counts(train, categorical)
-    skipped |= {c: "no values" for c in categorical if c not in n_values}
-    kept = [c for c in categorical if c in n_values]
-    text_fill = modes(train, kept)
-    numeric = [c for c in numeric if c in number_fill]
+    number_fill, text_fill = medians(train, numeric), modes(train, categorical)
+    skipped = {c: "no values" for c in [*numeric, *categorical] if c not in number_fill and c not in text_fill}
+    numeric, kept = [c for c in numeric if c in number_fill], [c for c in categorical if c in text_fill]
     if not numeric and not kept:
         raise ValueError("no usable feature column")
     own = free_prefix(train.columns)  # of the names of all columns made here
-    number_slot = {c: f"{own}n{i}" for i, c in enumerate(numeric)}
-    text_slot = {c: f"{own}k{i}" for i, c in enumerate(kept)}
-    filled = _imputation(train, number_fill, {c: text_fill[c] for c in kept}, (number_slot | text_slot).__getitem__)
-    stages: list[Transformer] = [SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")]
-    wide = [c for c in kept if n_values[c] > max_categories]
-    if wide:
-        hashed = [f"CAST(pmod(xxhash64({text_slot[c]}), {max_categories}) AS STRING) AS {text_slot[c]}_h" for c in wide]
-        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(hashed)} FROM __THIS__"))
-        text_slot |= {c: f"{text_slot[c]}_h" for c in wide}
-    slots = dict(number_slot)
-    if numeric:
-        # Spread of the imputed values, as the model sees them.
-        by = spreads(stages[0].transform(train), list(number_slot.values()))
-        scale = ", ".join(f"{slot} / {_number(by[slot])} AS {own}s{i}" for i, slot in enumerate(number_slot.values()))
-        stages.append(SQLTransformer(statement=f"SELECT *, {scale} FROM __THIS__"))
-        slots = {c: f"{own}s{i}" for i, c in enumerate(numeric)}
+    numbers = {c: f"{own}n{i}" for i, c in enumerate(numeric)}
+    texts = {c: f"{own}k{i}" for i, c in enumerate(kept)}
+    filled = _imputation(train, {c: number_fill[c] for c in numeric}, {}, numbers.__getitem__)
+    filled += [f"{entry_of(text)} AS {texts[c]}" for c, text in _text_fills(train, {c: text_fill[c] for c in kept})]
+    # Spread of the imputed values, as the model sees them.
+    by = spreads(train.selectExpr("*", *filled), list(numbers.values()))
+    scaled = [f"{slot} / {_number(by[slot])} AS {own}s{i}" for i, slot in enumerate(numbers.values())]
+    slots = {c: f"{own}s{i}" for i, c in enumerate(numeric)} | {c: f"{own}h{i}" for i, c in enumerate(kept)}
+    entries = onehot = None
     if kept:
+        entries = dictionary(train.selectExpr(*filled), list(texts.values()))
         indexed = [f"{own}i{i}" for i in range(len(kept))]
-        slots |= {c: f"{own}h{i}" for i, c in enumerate(kept)}
-        stages += [
-            # The extra index for unseen values is the one the encoder drops.
-            StringIndexer(inputCols=list(text_slot.values()), outputCols=indexed, handleInvalid="keep",
-                          stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=[slots[c] for c in kept], dropLast=True)]
-    encoder = Pipeline(stages=stages).fit(train)
+        # The slot behind the last entry stands for unseen values; it is the one that the encoder drops.
+        last = train.sparkSession.createDataFrame(
+            [tuple(float(entries.sizes[i]) for i in range(len(kept)))], ", ".join(f"{c} double" for c in indexed))
+        onehot = OneHotEncoder(inputCols=indexed, outputCols=[slots[c] for c in kept], dropLast=True).fit(last)
     assembler = VectorAssembler(inputCols=list(slots.values()), outputCol=FEATURES)
-    return Preparation(encoder, assembler, list(numeric), kept, slots, skipped)
-
-
-def _category_counts(train: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Number of values of each column that has any."""
-    if not columns:
-        return {}
-    subset = train.select(*map(reference, columns))
-    return {columns[r.ordinal]: r.n_unique for r in frequency_stats(subset).select("ordinal", "n_unique").collect()}
+    return Preparation(filled, scaled, texts, entries, onehot, assembler, numeric, kept, slots, skipped)

@@ -52,7 +52,7 @@ def available_strategies() -> dict[str, str]:
 def run(spark: SparkSession, path: str | None = None, df: DataFrame | None = None, strategy: str = "auto_ai",
         target: str | None = None, suggestions: DataFrame | None = None, sample_n: int = 0, seed: int = 42,
         test_size: float = 0.2, repeats: int = 5, task_rule: str = "statistical", key: list[str] | None = None,
-        order_by: list[str] | None = None, max_categories: int = 1000, sizes: ModelSizes = ModelSizes(),
+        order_by: list[str] | None = None, sizes: ModelSizes = ModelSizes(),
         output: str | None = None, dataset: str | None = None) -> JobResult:
     """Choose a target of a table, model it and explain it.
 
@@ -75,7 +75,7 @@ def run(spark: SparkSession, path: str | None = None, df: DataFrame | None = Non
         raise ValueError("no suitable target column")
     facts = ranking.where(F.col("column") == chosen).first()
     task = facts.task_statistical if task_rule == "statistical" else facts.task_by_type
-    training = train(table, chosen, task, seed, test_size, repeats, key, max_categories, sizes=sizes)
+    training = train(table, chosen, task, seed, test_size, repeats, key, sizes=sizes)
     result = JobResult(chosen, task, source, prof, scores, ranked(ranking), training)
     if output:
         name = dataset or (path.rstrip("/").rsplit("/", 1)[-1] if path else "table")

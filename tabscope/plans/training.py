@@ -23,7 +23,7 @@ class Training:
 
 
 def train(df: DataFrame, target: str, task: str, seed: int = 42, test_size: float = 0.2, repeats: int = 5,
-          key: list[str] | None = None, max_categories: int = 1000, importance_on: str = "all",
+          key: list[str] | None = None, importance_on: str = "all",
           sizes: ModelSizes = ModelSizes()) -> Training:
     """Bake-off on a split, refit of the winner on all rows, permutation importance of the raw columns.
 
@@ -31,13 +31,13 @@ def train(df: DataFrame, target: str, task: str, seed: int = 42, test_size: floa
     """
     rows = with_target(df, target)
     numeric, categorical = feature_columns(rows, target)
-    outcome = bake_off(rows, target, task, numeric, categorical, seed, test_size, key, max_categories, sizes)
+    outcome = bake_off(rows, target, task, numeric, categorical, seed, test_size, key, sizes)
     if importance_on == "test":
         final = Refit(task, outcome.preparation, outcome.best.model)
         rows_seen = outcome.test
     else:
         rows_seen = labelled(rows, target, task)[0]
-        final = refit(rows_seen, outcome, seed, max_categories, sizes)
+        final = refit(rows_seen, outcome, seed, sizes)
     features = [c for c in df.columns if c in final.preparation.slots]
     drops = explained(rows_seen, features, final, repeats, seed, key)
     return Training(outcome, final, outcome.metrics, importance(drops), numeric, categorical, final.preparation.skipped)

@@ -15,7 +15,7 @@ FAST = ["profile_orders", "profile_embeddings", "profile_orders_gaps", "profile_
         "dominance_entropy_part", "missing_profile", "table_notes", "profile_digest_capped", "value_counts_events",
         "column_modes", "column_preview", "integer_share", "numeric_coercion", "monotonicity_events", "row_numbers",
         "row_numbers_within", "permutation_check", "split_random", "split_stratified", "class_weights",
-        "impute_values", "impute_apply", "scale_values", "onehot_apply", "regression_metrics", "classification_metrics",
+        "impute_values", "impute_apply", "scale_values", "onehot_apply", "onehot_wide", "regression_metrics", "classification_metrics",
         "linear_fit", "csv_scan", "suggestion_verdicts", "decision_chain", "ranking_decision", "ranking_fallback"]
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import statistics
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabscope import run, train
-from tabscope.operators import metrics, models, prep
+from tabscope.operators import dictionary, metrics, models, prep
 from tabscope.operators.importance import importance, permutation_drops, top_features
 
 SMALL = models.ModelSizes(regression_trees=5, classification_trees=5, tree_depth=4, boosting_rounds=4, boosting_depth=3)
@@ -49,16 +50,34 @@ def test_preparation(spark):
     train_rows = spark.createDataFrame(
         [(1.0, True, "x", None, "u1"), (None, False, None, None, "u2"), (5.0, True, "x", None, "u3"), (3.0, None, "y", None, "u4")],
         "n double, b boolean, k string, void double, wide string")
-    fitted = prep.fit_preparation(train_rows, ["n", "b", "void"], ["k", "wide"], max_categories=3)
+    fitted = prep.fit_preparation(train_rows, ["n", "b", "void"], ["k", "wide"])
     assert (fitted.numeric, fitted.categorical) == (["n", "b"], ["k", "wide"])
     assert fitted.skipped == {"void": "no values"}
     unseen = spark.createDataFrame([(None, None, "new", None, "u1"), (3.0, True, "y", None, "u1")], train_rows.schema)
     rows = [r.f for r in fitted.transform(unseen).select(vector_to_array(prep.FEATURES).alias("f")).collect()]
     assert rows[0][2:4] == [0.0, 0.0] and rows[1][2:4] == [0.0, 1.0]
-    assert sum(rows[0][4:]) == 1 and len(rows[0]) <= 2 + 2 + 3  # the wide column shares three slots
+    assert rows[0][4:] == rows[1][4:] == [1.0, 0.0, 0.0, 0.0]  # each value has a slot of its own
     assert rows[0][0] == rows[1][0]  # the median is 3
 
 
+@pytest.mark.parametrize("broadcast_values", [100_000, 2])
+def test_dictionary_alike_at_every_size(spark, monkeypatch, broadcast_values):
+    """Two of six values are hot; some are long, one is a digest's twin, one is unseen, repeated rows and gaps are kept."""
+    monkeypatch.setattr(dictionary, "BROADCAST_VALUES", broadcast_values)
+    monkeypatch.setattr(dictionary, "HOT_SHARE", 4)
+    texts = ["hot"] * 40 + ["warm"] * 30 + ["é", "z" * 65, "z" * 64, "it's"] * 2
+    train_rows = spark.createDataFrame([(i, t, "only") for i, t in enumerate(texts)], "id int, t string, one string").repartition(5)
+    rows = spark.createDataFrame([(i, t, "only") for i, t in enumerate([*texts, "new", None])], "id int, t string, one string")
+    fitted = prep.fit_preparation(train_rows, [], ["t", "one"])
+    assert fitted.entries.sizes == {0: 6, 1: 1} and fitted.entries.n_rows == len(texts)
+    entries = sorted({hashlib.sha256(t.encode()).hexdigest() if len(t) > 64 else t for t in texts}, key=str.encode)
+    got = {r.id: list(r.f) for r in fitted.transform(rows).select("id", vector_to_array(prep.FEATURES).alias("f")).collect()}
+    assert len(got) == len(texts) + 2
+    for i, t in enumerate([*texts, "new", "hot"]):  # the gap is filled with the mode
+        held = hashlib.sha256(t.encode()).hexdigest() if len(t) > 64 else t
+        assert got[i] == [*[float(e == held) for e in entries], 1.0]
+
+
 def test_feature_columns(spark):
     df = spark.createDataFrame([(1, True, "a", None)], "t int, b boolean, s string, d date")
     assert prep.feature_columns(df, "t") == (["b"], ["s", "d"])
