@@ -251,9 +251,9 @@ def _onehot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS row_key", "0 AS line", "CAST(o_custkey AS STRING) AS value")
 
     def slots(df: DataFrame, name: str) -> DataFrame:
-        encoded = prep.fit_preparation(df, [], ["value"]).transform(df).withColumn("x", vector_to_array(prep.FEATURES))
-        return encoded.selectExpr(f"'{name}' AS relation", "CAST(row_key AS BIGINT) AS row_key", "CAST(line AS BIGINT) AS line",
-                                  "CAST(array_position(x, 1D) - 1 AS BIGINT) AS slot", "CAST(size(x) AS BIGINT) AS width")
+        x = prep.stored(prep.fit_preparation(df, [], ["value"]).transform(df))
+        return x.selectExpr(f"'{name}' AS relation", "CAST(row_key AS BIGINT) AS row_key", "CAST(line AS BIGINT) AS line",
+                            "CAST(coalesce(get(indices, first_one), first_one, -1) AS BIGINT) AS slot", "CAST(width AS BIGINT) AS width")
 
     return _union([slots(lines, "lineitem"), slots(orders, "orders")])
 

@@ -236,3 +236,13 @@ def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Seque
         onehot = OneHotEncoder(inputCols=indexed, outputCols=[slots[c] for c in kept], dropLast=True).fit(last)
     assembler = VectorAssembler(inputCols=list(slots.values()), outputCol=FEATURES)
     return Preparation(filled, scaled, texts, entries, onehot, assembler, numeric, kept, slots, skipped)
+
+
+def stored(vectors: DataFrame) -> DataFrame:
+    """Add (width, indices, first_one) of the feature vector as it is stored, so that no row takes memory per slot.
+
+    ``indices`` is NULL for a vector stored densely; ``first_one`` is the 0-based place of the first 1 among the stored values, or NULL.
+    """
+    parts = vectors.withColumn("x", F.unwrap_udt(F.col(FEATURES)))
+    return parts.selectExpr("*", "coalesce(x.size, size(x.values)) AS width", "x.indices AS indices",
+                            "CAST(nullif(array_position(x.values, 1D), 0) - 1 AS INT) AS first_one").drop("x")

@@ -239,3 +239,14 @@ def test_too_many_classes_are_refused(spark):
     df = spark.range(models.MAX_CLASSES + 5).selectExpr("id", "CAST(id AS STRING) AS c")
     with pytest.raises(ValueError, match="classes"):
         models.labelled(df, "c", models.CLASSIFICATION)
+
+
+def test_slots_are_read_from_vectors_as_stored(spark):
+    """A column of 30,000 values: dense copies of these vectors would take 7 GB."""
+    seen = spark.range(30_000).selectExpr("id", "lpad(CAST(id AS STRING), 6, '0') AS value")
+    fitted = prep.fit_preparation(seen, [], ["value"])
+    rows = prep.stored(fitted.transform(seen.unionByName(spark.createDataFrame([(-1, "new")], seen.schema))))
+    got = rows.selectExpr("id", "width", "get(indices, first_one) AS slot")
+    assert got.where("width != 30000 OR NOT coalesce(slot, -1) <=> id").isEmpty() and got.count() == 30_001
+    plain = prep.fit_preparation(seen.limit(1), [], ["value"])
+    assert prep.stored(plain.transform(seen.limit(1))).selectExpr("coalesce(get(indices, first_one), first_one) AS s", "width").first()[:] == (0, 1)
