@@ -192,8 +192,9 @@ def _row_numbers_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _permutation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order.numbered(_read(spark, sf_dir, "lineitem").select("l_orderkey"))
     n = rows.count()
-    images = ", ".join(f"named_struct('repeat', {r}, 'image', {sampling.permuted('row_index', n, 42, r)})" for r in range(3))
-    return rows.selectExpr(f"inline(array({images}))").groupBy("repeat").agg(
+    images = {f"image{r}": sampling.permuted_column(F.col("row_index"), rows, n, 42, r) for r in range(3)}
+    told = ", ".join(f"named_struct('repeat', {r}, 'image', image{r})" for r in range(3))
+    return rows.withColumns(images).selectExpr(f"inline(array({told}))").groupBy("repeat").agg(
         F.expr("count(1) AS n"), F.expr("count(DISTINCT image) AS n_distinct"), F.expr("min(image) AS lowest"),
         F.expr("max(image) AS highest"))
 

@@ -12,7 +12,9 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions.values import is_missing, reference
@@ -130,6 +132,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.selectExpr("label", "n", "sum(n) OVER () / (count(1) OVER () * CAST(n AS DOUBLE)) AS weight")
 
 
+def _round_keys(n: int, seed: int, repeat: int) -> list[int]:
+    draw = random.Random(f"{seed}/{repeat}")
+    return [draw.randrange(n) for _ in range(max(24, 2 * n.bit_length()))]
+
+
 def permuted(index: str, n: int, seed: int, repeat: int) -> str:
     """SQL: image of a row number in a pseudo-random permutation of 0 .. n-1.
 
@@ -138,9 +145,43 @@ def permuted(index: str, n: int, seed: int, repeat: int) -> str:
     """
     if n < 2:
         return f"CAST({index} AS BIGINT)"
-    draw = random.Random(f"{seed}/{repeat}")
-    rounds = max(24, 2 * n.bit_length())
-    keys = ", ".join(f"{draw.randrange(n)}L" for _ in range(rounds))
+    keys = ", ".join(f"{k}L" for k in _round_keys(n, seed, repeat))
     mirror = f"((k + {n}L - x) % {n}L)"
     swap = f"(xxhash64({seed}, {repeat}, k, greatest(x, {mirror})) & 1L) = 1L"
     return f"aggregate(array({keys}), CAST({index} AS BIGINT), (x, k) -> CASE WHEN {swap} THEN {mirror} ELSE x END)"
+
+
+def permuted_column(index: Column, rows: DataFrame, n: int, seed: int, repeat: int) -> Column:
+    """The same permutation as :func:`permuted`, a batch of rows at a time.
+
+    Spark interprets the steps of a fold row by row. The hash of what a round has in common, its key included, is taken
+    from Spark once; each batch then only folds its numbers into it.
+    """
+    if n < 2:
+        return index.cast("bigint")
+    keys = _round_keys(n, seed, repeat)
+    # One number per round.
+    begun = rows.sparkSession.range(1).selectExpr(*[f"xxhash64({seed}, {repeat}, {k}L) AS r{i}" for i, k in enumerate(keys)]).first()
+    return _folded(n, list(zip(keys, begun)))(index)
+
+
+def _folded(n: int, rounds: list[tuple[int, int]]):
+    """A function of row numbers; it names nothing of this package, so executors need only numpy, pandas and pyarrow."""
+    @F.pandas_udf("bigint")
+    def images(index: pd.Series) -> pd.Series:
+        p1, p2, p3, p4 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63))
+        r31, l33, r27, l37, s29, s32 = (np.uint64(b) for b in (31, 33, 27, 37, 29, 32))
+        x = index.to_numpy(dtype=np.int64, copy=True)
+        for key, begun in rounds:
+            mirror = key - x
+            mirror[mirror < 0] += n
+            h = np.maximum(x, mirror).view(np.uint64) * p2
+            h = ((h << r31) | (h >> l33)) * p1
+            h ^= np.uint64((begun + 0x27D4EB2F165667C5 + 8) % 2**64)
+            h = ((h << r27) | (h >> l37)) * p1 + p4
+            h = (h ^ (h >> l33)) * p2
+            h = (h ^ (h >> s29)) * p3
+            x = np.where(((h ^ (h >> s32)) & np.uint64(1)).astype(bool), mirror, x)
+        return pd.Series(x)
+
+    return images

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabscope import class_weights, random_split, sample_exact, stratified_split
-from tabscope.operators.sampling import permuted
+from tabscope.operators.sampling import permuted, permuted_column
 from tabscope.operators import sampling
 
 
@@ -77,3 +77,11 @@ def test_many_groups_split_a_hot_one(spark, monkeypatch):
     monkeypatch.setattr(sampling, "BROADCAST_GROUPS", 2)
     monkeypatch.setattr(sampling, "HEAVY_SHARE", 10)
     assert sorted(map(tuple, sampling.stratified_split(df, "_group", 0.25, ["id"]).collect())) == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100, 40_000])
+def test_permuted_batches_are_the_same_permutation(spark, n):
+    rows = spark.range(n).withColumn("id", F.expr("CAST(id AS BIGINT)"))
+    for seed, repeat in ((42, 0), (-7, 4)):
+        both = rows.select(F.expr(f"{permuted('id', n, seed, repeat)} AS p"), permuted_column(F.col("id"), rows, n, seed, repeat).alias("q"))
+        assert both.where("NOT p <=> q").isEmpty()
