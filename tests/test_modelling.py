@@ -250,3 +250,17 @@ def test_slots_are_read_from_vectors_as_stored(spark):
     assert got.where("width != 30000 OR NOT coalesce(slot, -1) <=> id").isEmpty() and got.count() == 30_001
     plain = prep.fit_preparation(seen.limit(1), [], ["value"])
     assert prep.stored(plain.transform(seen.limit(1))).selectExpr("coalesce(get(indices, first_one), first_one) AS s", "width").first()[:] == (0, 1)
+
+
+def test_small_tables_are_dealt_over_few_tasks(spark):
+    """A fit is hundreds of jobs: 200 partitions of a few rows each only start tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        data, _ = models.labelled(spark.range(1000).selectExpr("id AS x", "id * 2D AS y"), "y", models.REGRESSION)
+        vectors = models.vectors_of(prep.fit_preparation(data, ["x"], []), data, 1000)
+        assert vectors.rdd.getNumPartitions() == 12 and vectors.count() == 1000
+        many = models.spread(spark.range(10), 10**9)
+        assert many.rdd.getNumPartitions() == 200 and models.spread(spark.range(10), 1_000_001).rdd.getNumPartitions() == 21
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
