@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions.values import reference
-from tabscope.operators.metrics import regression_scores
+from tabscope.operators.metrics import R2, regression_scores
 from tabscope.operators.models import LABEL, REGRESSION, Refit
 from tabscope.operators.order import numbered
 from tabscope.operators.sampling import permuted_column
@@ -56,8 +59,10 @@ def explained(df: DataFrame, features: Sequence[str], final: Refit, repeats: int
 
     A raw value is encoded by itself, so shuffling a raw column and shuffling its encoded slot
     are the same. Rows are therefore encoded once, before the join, and only assembled and
-    predicted per variant.
+    predicted per variant. A linear model needs no variants: see :func:`additive_drops`.
     """
+    if isinstance(final.model, LinearRegressionModel):
+        return additive_drops(df, features, final, repeats, seed, key)
     slots = [final.preparation.slots[c] for c in features]
     encoded = final.preparation.encode(df).select(LABEL, *map(reference, key or []), *slots)
     drops = permutation_drops(encoded, slots, final.task, final.predict_encoded, repeats, seed, key)
@@ -65,6 +70,73 @@ def explained(df: DataFrame, features: Sequence[str], final: Refit, repeats: int
     return drops.withColumn("feature", labels[F.col("feature_ordinal")])
 
 
+def additive_drops(df: DataFrame, features: Sequence[str], final: Refit, repeats: int = 5, seed: int = 42,
+                   key: Sequence[str] | None = None) -> DataFrame:
+    """Permutation drops of raw columns under a linear model.
+
+    Its prediction is a sum of one share per raw column. With one column taken from the partner the residual is what the other
+    columns leave of the label, less the partner's share. So a row takes two numbers per column, whatever the width of the
+    encoding, and all columns of a repeat are scored by one aggregation of the joined pairs.
+    """
+    slots = [final.preparation.slots[c] for c in features]
+    encoded = final.preparation.encode(df)
+    keys = {f"_key{i}": F.col(reference(c)) for i, c in enumerate(key or [])}
+    data = encoded.select(LABEL, *[F.col(c).alias(f"x{i}") for i, c in enumerate(slots)], *[c.alias(k) for k, c in keys.items()])
+    n = data.count()
+    rows = numbered(data, order_by=list(keys)) if key else numbered(spread(data, n))
+    weights = _weights(final)
+    # A one-hot vector is told by the place of its 1, or the number of entries where it has none.
+    cells = [F.coalesce(F.get(F.unwrap_udt(f"x{i}")["indices"], F.lit(0)), F.lit(len(weights[c]) - 1)) if c in final.preparation.categorical
+             else F.col(f"x{i}") for i, c in enumerate(features)]
+    split = rows.select("row_index", F.col(LABEL).cast("double"), *[x.cast("double").alias(f"x{i}") for i, x in enumerate(cells)]).mapInArrow(
+        _shares([weights[c] for c in features], float(final.model.intercept)),
+        "row_index long, label double, prediction double, share array<double>, gap array<double>")
+    left = _with_partners(split.select("row_index", "gap"), n, repeats, seed).drop("row_index")
+    right = split.select(F.col("row_index").alias("partner"), "share")
+    residuals = ", ".join(f"sum((gap[{f}] - share[{f}]) * (gap[{f}] - share[{f}]))" for f in range(len(features)))
+    sums = left.join(right, "partner").groupBy("repeat").agg(F.expr(f"array({residuals}) AS residuals"))
+    # One row: the spread of the label and the score without any change.
+    base = regression_scores(split).join(split.agg(F.expr("var_pop(label) * count(1) AS total"))).first()
+    labels = F.array(*[F.lit(c) for c in features])
+    scores = sums.selectExpr("repeat", "posexplode(residuals) AS (feature_ordinal, residual)").withColumn("total", F.lit(base.total))
+    scores = scores.withColumn("score", F.expr(R2))
+    return scores.select("feature_ordinal", labels[F.col("feature_ordinal")].alias("feature"), "repeat", "score",
+                         (F.lit(base.r2) - F.col("score")).alias("drop"))
+
+
+def _weights(final: Refit) -> dict[str, np.ndarray]:
+    """Weights of each raw column: one of a number; of a category one per entry, then 0 for unseen values."""
+    preparation, weights, at, out = final.preparation, final.model.coefficients.toArray(), 0, {}
+    for c in preparation.slots:
+        size = preparation.entries.sizes[preparation.categorical.index(c)] if c in preparation.categorical else 1
+        out[c] = np.append(weights[at:at + size], 0.0) if c in preparation.categorical else weights[at:at + size]
+        at += size
+    return out
+
+
+def _shares(weights: list[np.ndarray], intercept: float):
+    """Shares of the prediction, and what all other shares leave of the label. Executors need only numpy and pyarrow."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, k = batch.num_rows, len(weights)
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            shares = np.empty((n, k))
+            for i, part in enumerate(weights):
+                x = batch.column(2 + i).to_numpy(zero_copy_only=False)
+                shares[:, i] = x * part[0] if len(part) == 1 else part[x.astype(np.int64)]
+            # Sums of the shares before and behind each, so that nothing is subtracted.
+            nought = np.zeros((n, 1))
+            before = np.hstack([nought, np.cumsum(shares, axis=1)])
+            behind = np.hstack([np.cumsum(shares[:, ::-1], axis=1)[:, ::-1], nought])
+            gaps = (y - intercept)[:, None] - (before[:, :-1] + behind[:, 1:])
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * k)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(a.ravel())) for a in (shares, gaps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before[:, -1] + intercept), *lists],
+                                             names=["row_index", "label", "prediction", "share", "gap"])
+
+    return run
+
+
 def _score(predictions: DataFrame, task: str, by: list[str]) -> DataFrame:
     if task == REGRESSION:
         return regression_scores(predictions, LABEL, "prediction", by).withColumnRenamed("r2", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabscope import run, train
 from tabscope.operators import dictionary, metrics, models, prep
-from tabscope.operators.importance import importance, permutation_drops, top_features
+from tabscope.operators.importance import explained, importance, permutation_drops, top_features
 
 SMALL = models.ModelSizes(regression_trees=5, classification_trees=5, tree_depth=4, boosting_rounds=4, boosting_depth=3)
 
@@ -264,3 +264,21 @@ def test_small_tables_are_dealt_over_few_tasks(spark):
         assert many.rdd.getNumPartitions() == 200 and models.spread(spark.range(10), 1_000_001).rdd.getNumPartitions() == 21
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("key", [["id"], None])
+def test_importance_of_a_linear_model_needs_no_variants(spark, line, key):
+    """The same drops as from predicting every variant, one row per pair of rows."""
+    data, _ = models.labelled(line, "y", models.REGRESSION)
+    fitted = prep.fit_preparation(data.where("k <> 'k1'"), ["x1", "x2"], ["k"])  # k1 is unseen
+    estimator = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
+    final = models.Refit(models.REGRESSION, fitted, estimator.fit(fitted.transform(data).select(models.LABEL, prep.FEATURES)))
+    features, data = ["x2", "k", "x1"], data.coalesce(1)
+    fast = explained(data, features, final, 3, key=key)
+    slots = [fitted.slots[c] for c in features]
+    slow = permutation_drops(fitted.encode(data).select(models.LABEL, "id", *slots), slots, models.REGRESSION, final.predict_encoded, 3, key=key)
+    assert "Generate explode" not in fast._jdf.queryExecution().toString()
+    got, want = ({(r.feature_ordinal, r.repeat): r for r in t.collect()} for t in (fast, slow))
+    assert set(got) == set(want) and len(got) == 9
+    for at, r in got.items():
+        assert (r.score, r["drop"]) == pytest.approx((want[at].score, want[at]["drop"]), abs=1e-9) and r.feature == features[at[0]]
