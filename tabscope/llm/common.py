@@ -8,6 +8,7 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,9 @@ def by_value(module: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder: read again from there, also after lost executors."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    rows = df.checkpoint(eager=True)
+    give_back_jvm(df.sparkSession)
+    return rows
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -96,6 +99,25 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back_jvm(spark: SparkSession) -> bool:
+    """The same for the driver's JVM: what ``jcmd <pid> System.trim_native_heap`` does. False where its JVM has no such command.
+
+    Planning and compiling many short jobs on many threads leaves free memory in the C library's pools, outside the heap.
+    """
+    try:
+        java, new_array = spark._jvm.java, spark.sparkContext._gateway.new_array
+        kinds = new_array(java.lang.Class, 4)  # the server's own class is not open to callers, its public interface is
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = java.lang.Class.forName(kind)
+        given = new_array(java.lang.Object, 4)  # the command takes no arguments
+        given[0], given[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds)
+        invoke.invoke(java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except (Py4JError, AttributeError):  # another JVM, or a session without one at hand
+        return False
+    return True
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about ``most`` bytes of text; one longer text makes a run of its own."""
     for batch in batches:

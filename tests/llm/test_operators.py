@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tabscope.llm import (
-    bpe, components, exact_dedup, licenses, minhash_forest, personal_data, quality_classifier, quality_rules, queries, secrets, source_mixing, token_counts)
+    bpe, common, components, exact_dedup, licenses, minhash_forest, personal_data, quality_classifier, quality_rules, queries, secrets, source_mixing, token_counts)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _id int"
 RANKS = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -110,6 +110,24 @@ def test_components_with_hubs(spark, monkeypatch):
     assert got == {v: find(v) for v in parent if any(a != b and v in (a, b) for a, b in links)}
 
 
+def test_rounds_of_stars_take_three_shuffles(spark):
+    """The windows give the same edges as the aggregations and joins, which hubs still take, in half the exchanges."""
+    draw = random.Random(8)
+    links = {(max(p), min(p)) for p in ((draw.randint(0, 150), draw.randint(0, 150)) for _ in range(200)) if p[0] != p[1]}
+    edges = spark.createDataFrame(sorted(links), "u long, v long")
+    got = components._stars(edges, len(links), 1)
+    assert sorted(got.collect()) == sorted(components._small_star(components._large_star(edges, len(links), 1)).collect())
+    assert got._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[-1].count("Exchange hashpartitioning") == 3
+
+
+def test_free_memory_is_given_back_after_each_step(spark, monkeypatch):
+    assert common.give_back_jvm(spark) in (True, False)  # False on a JVM without the command
+    assert common.give_back_jvm(object()) is False
+    called = []
+    monkeypatch.setattr(common, "give_back_jvm", called.append)
+    assert common.written(spark.range(3)).count() == 3 and len(called) == 1
+
+
 def test_regions_are_cut_where_prefixes_end():
     """A region of more than SMALL rows is cut at greater depth, only where it is crowded."""
     groups = [0x0001_0000_0000_0000] * 20 + [0x0002_0000_0000_0000] * 20 + [0x0001_0000_0000_0000, 0x0002_0000_0000_0000]
