@@ -1,5 +1,6 @@
 import hashlib
 import statistics
+import threading
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tabscope import run, train
 from tabscope.operators import dictionary, metrics, models, prep
 from tabscope.operators.importance import explained, importance, permutation_drops, top_features
+from tabscope.session import together
 
 SMALL = models.ModelSizes(regression_trees=5, classification_trees=5, tree_depth=4, boosting_rounds=4, boosting_depth=3)
 
@@ -282,3 +284,23 @@ def test_importance_of_a_linear_model_needs_no_variants(spark, line, key):
     assert set(got) == set(want) and len(got) == 9
     for at, r in got.items():
         assert (r.score, r["drop"]) == pytest.approx((want[at].score, want[at]["drop"]), abs=1e-9) and r.feature == features[at[0]]
+
+
+def test_candidates_of_few_rows_are_fitted_side_by_side(spark, line, monkeypatch):
+    """Each fit of a few rows waits for jobs to start: none begins only when another has ended. Results stay in order."""
+    met, fit_one = threading.Barrier(3, timeout=60), models.fit_one
+
+    def fitted(*args):
+        met.wait()
+        return fit_one(*args)
+
+    monkeypatch.setattr(models, "fit_one", fitted)
+    outcome = models.bake_off(line.drop("c"), "y", models.REGRESSION, ["x1", "x2"], ["k"], key=["id"], sizes=SMALL)
+    assert [(f.ordinal, f.name) for f in outcome.candidates] == [(0, "LinearRegression"), (1, "RandomForestRegressor"), (2, "GBTRegressor")]
+    assert outcome.best.name == "LinearRegression"
+
+
+def test_steps_together(spark):
+    assert together(spark, [lambda i=i: spark.range(i).count() for i in (3, 1, 2)], 3) == [3, 1, 2]
+    with pytest.raises(ZeroDivisionError):
+        together(spark, [lambda: 1, lambda: 1 // 0], 2)
