@@ -30,7 +30,7 @@ from tabscope.operators import (
 from tabscope.operators import profile as pf
 from tabscope.plans.job import run
 from tabscope.plans.training import train
-from tabscope.session import materialised, scratch_path
+from tabscope.session import dealt, materialised, scratch_path
 from tabscope.sources.csv import read_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,9 +376,8 @@ def _linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric, categorical = prep.feature_columns(df, target)
     preparation = prep.fit_preparation(data, numeric, categorical)
     estimator = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
-    vectors = models.vectors_of(preparation, data, data.count()).persist()
-    model = models.fit_one(models.REGRESSION, estimator, vectors)
-    vectors.unpersist()
+    # The fit reads its vectors once, so they are not kept.
+    model = models.fit_one(models.REGRESSION, estimator, models.vectors_of(preparation, data, *dealt(data)))
     final = models.Refit(models.REGRESSION, preparation, model)
     features = [c for c in df.columns if c != target]
     return importance.explained(data, features, final)

@@ -112,9 +112,10 @@ def weighted(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights), F.col(LABEL) == F.col("_label")).drop("_label")  # one row per class
 
 
-def vectors_of(preparation: Preparation, rows: DataFrame, n_rows: int) -> DataFrame:
-    """(label, features) of that many rows, dealt evenly for the iterative fits."""
-    return spread(preparation.transform(rows).select(LABEL, FEATURES), n_rows)
+def vectors_of(preparation: Preparation, rows: DataFrame, n_rows: int, even: bool = False) -> DataFrame:
+    """(label, features) of that many rows, dealt evenly for the iterative fits; as they lie if they are even already."""
+    vectors = preparation.transform(rows).select(LABEL, FEATURES)
+    return vectors if even else spread(vectors, n_rows)
 
 
 def fit_one(task: str, estimator: Estimator, vectors: DataFrame) -> Model:

@@ -187,6 +187,8 @@ class Preparation:
     numeric: list[str]
     categorical: list[str]
     slots: dict[str, str]
+    #: Of each numeric column: the name of its values before scaling, and what they are divided by.
+    unscaled: dict[str, tuple[str, float]]
     skipped: dict[str, str] = field(default_factory=dict)
 
     def encode(self, df: DataFrame) -> DataFrame:
@@ -234,7 +236,8 @@ def fit_preparation(train: DataFrame, numeric: Sequence[str], categorical: Seque
         last = train.sparkSession.range(0, 1, 1, 1).selectExpr(*[f"CAST({entries.sizes[i]} AS DOUBLE) AS {c}" for i, c in enumerate(indexed)])
         onehot = OneHotEncoder(inputCols=indexed, outputCols=[slots[c] for c in kept], dropLast=True).fit(last)
     assembler = VectorAssembler(inputCols=list(slots.values()), outputCol=FEATURES)
-    return Preparation(filled, scaled, texts, entries, onehot, assembler, numeric, kept, slots, skipped)
+    unscaled = {c: (slot, by[slot]) for c, slot in numbers.items()}
+    return Preparation(filled, scaled, texts, entries, onehot, assembler, numeric, kept, slots, unscaled, skipped)
 
 
 def stored(vectors: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.functions.values import is_missing, reference
@@ -159,19 +159,24 @@ def permuted_column(index: Column, rows: DataFrame, n: int, seed: int, repeat: i
     """
     if n < 2:
         return index.cast("bigint")
+    return _folded(n, permutation_rounds(rows.sparkSession, n, seed, repeat))(index)
+
+
+def permutation_rounds(spark: SparkSession, n: int, seed: int, repeat: int) -> list[tuple[int, int]]:
+    """(key, hash of what the round has in common) of each round; backwards they make the inverse permutation."""
+    if n < 2:
+        return []
     keys = _round_keys(n, seed, repeat)
     # One number per round.
-    begun = rows.sparkSession.range(1).selectExpr(*[f"xxhash64({seed}, {repeat}, {k}L) AS r{i}" for i, k in enumerate(keys)]).first()
-    return _folded(n, list(zip(keys, begun)))(index)
+    begun = spark.range(1).selectExpr(*[f"xxhash64({seed}, {repeat}, {k}L) AS r{i}" for i, k in enumerate(keys)]).first()
+    return list(zip(keys, begun))
 
 
-def _folded(n: int, rounds: list[tuple[int, int]]):
-    """A function of row numbers; it names nothing of this package, so executors need only numpy, pandas and pyarrow."""
-    @F.pandas_udf("bigint")
-    def images(index: pd.Series) -> pd.Series:
+def images(n: int):
+    """The images of row numbers by some rounds; the function names nothing of this package, so executors need only numpy."""
+    def of(x: np.ndarray, rounds: list[tuple[int, int]]) -> np.ndarray:
         p1, p2, p3, p4 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63))
         r31, l33, r27, l37, s29, s32 = (np.uint64(b) for b in (31, 33, 27, 37, 29, 32))
-        x = index.to_numpy(dtype=np.int64, copy=True)
         for key, begun in rounds:
             mirror = key - x
             mirror[mirror < 0] += n
@@ -182,6 +187,17 @@ def _folded(n: int, rounds: list[tuple[int, int]]):
             h = (h ^ (h >> l33)) * p2
             h = (h ^ (h >> s29)) * p3
             x = np.where(((h ^ (h >> s32)) & np.uint64(1)).astype(bool), mirror, x)
-        return pd.Series(x)
+        return x
+
+    return of
+
+
+def _folded(n: int, rounds: list[tuple[int, int]]):
+    """A function of row numbers; it names nothing of this package, so executors need only numpy, pandas and pyarrow."""
+    of = images(n)
+
+    @F.pandas_udf("bigint")
+    def folded(index: pd.Series) -> pd.Series:
+        return pd.Series(of(index.to_numpy(dtype=np.int64, copy=True), rounds))
 
-    return images
+    return folded

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Result = TypeVar("Result")
 
@@ -60,6 +62,13 @@ def spread(df: DataFrame, n_rows: int) -> DataFrame:
     return df.repartition(min(most, max(LEAST_TASKS, -(-n_rows // ROWS_PER_TASK))))
 
 
+def dealt(df: DataFrame) -> tuple[int, bool]:
+    """The number of rows, and whether no partition holds more than twice its part of the least tasks: then nothing need be dealt anew."""
+    # One number per partition.
+    held = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    return sum(held), bool(held) and max(held) * LEAST_TASKS <= 2 * sum(held)
+
+
 def together(spark: SparkSession, steps: Sequence[Callable[[], Result]], at_once: int) -> list[Result]:
     """Results of independent steps in their order, ``at_once`` of them running at a time; the first error is raised."""
     if at_once < 2:
@@ -68,6 +77,18 @@ def together(spark: SparkSession, steps: Sequence[Callable[[], Result]], at_once
         return pool.map(lambda step: inheritable_thread_target(spark)(step)(), steps, chunksize=1)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run here delete what they have shuffled when they end, not when the driver happens to collect its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a folder of this library's own in the shared folder, once nothing reads it any more."""
     if not path.startswith(f"{shared_folder(spark).rstrip('/')}/"):

@@ -8,9 +8,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabscope import run, train
-from tabscope.operators import dictionary, metrics, models, prep
+from tabscope.operators import dictionary, metrics, models, prep, sampling
+from tabscope.operators import importance as importances
 from tabscope.operators.importance import explained, importance, permutation_drops, top_features
-from tabscope.session import together
+from tabscope.session import dealt, together
 
 SMALL = models.ModelSizes(regression_trees=5, classification_trees=5, tree_depth=4, boosting_rounds=4, boosting_depth=3)
 
@@ -304,3 +305,71 @@ def test_steps_together(spark):
     assert together(spark, [lambda i=i: spark.range(i).count() for i in (3, 1, 2)], 3) == [3, 1, 2]
     with pytest.raises(ZeroDivisionError):
         together(spark, [lambda: 1, lambda: 1 // 0], 2)
+
+
+@pytest.mark.parametrize("key, partitions", [(["id"], 3), (None, 24)])
+def test_importance_of_a_linear_model_by_blocks(spark, line, monkeypatch, key, partitions):
+    """Many blocks, packs and exchanges, with a key and for rows that lie evenly: the drops of every variant predicted, no row left out."""
+    monkeypatch.setattr(importances, "BLOCK_CELLS", 120)
+    monkeypatch.setattr(importances, "PAIRS_AT_ONCE", 1)
+    data, _ = models.labelled(line.orderBy("id").coalesce(1), "y", models.REGRESSION)
+    fitted = prep.fit_preparation(data.where("k <> 'k1'"), ["x1", "x2"], ["k"])  # k1 is unseen
+    estimator = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
+    final = models.Refit(models.REGRESSION, fitted, estimator.fit(fitted.transform(data).select(models.LABEL, prep.FEATURES)))
+    features = ["k", "x2", "x1"]
+    rows = models.labelled(line.repartitionByRange(partitions, "id").sortWithinPartitions("id"), "y", models.REGRESSION)[0]
+    fast = {(r.feature, r.repeat): r for r in explained(rows, features, final, 3, key=key).collect()}
+    slots = [fitted.slots[c] for c in features]
+    slow = permutation_drops(fitted.encode(data).select(models.LABEL, "id", *slots), slots, models.REGRESSION, final.predict_encoded, 3, key=["id"])
+    want = {(features[r.feature_ordinal], r.repeat): r for r in slow.collect()}
+    assert set(fast) == set(want) and len(fast) == 9
+    for at, r in fast.items():
+        assert (r.score, r["drop"]) == pytest.approx((want[at].score, want[at]["drop"]), abs=1e-9)
+
+
+def test_importance_of_a_linear_model_frees_its_disk(spark):
+    """Pairs of rows, 300,000 here, leave 18 MB of shuffle files if they are exchanged together and kept."""
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()))
+
+    wide = spark.range(0, 60_000, 1, 24).selectExpr("id", *[f"pmod(hash(id, {i}), 100000) / 7D AS x{i}" for i in range(8)], "pmod(hash(id), 9) * 1D AS y")
+    data, _ = models.labelled(wide, "y", models.REGRESSION)
+    features = [f"x{i}" for i in range(8)]
+    fitted = prep.fit_preparation(data, features, [])
+    estimator = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
+    final = models.Refit(models.REGRESSION, fitted, estimator.fit(fitted.transform(data).select(models.LABEL, prep.FEATURES)))
+    before = held()
+    assert explained(data, features, final).count() == 40
+    assert held() - before < 1_000_000
+    assert [len(b) for b in importances._batches(5, 10**8)] == [1] * 5 and [*map(list, importances._batches(5, 8_000_000))] == [[0, 1], [2, 3], [4]]
+
+
+def test_rows_that_lie_evenly_are_not_dealt_anew(spark):
+    assert dealt(spark.range(0, 2400, 1, 24)) == (2400, True) and dealt(spark.range(100).coalesce(1)) == (100, False)
+    uneven = spark.range(0, 1000, 1, 12).union(spark.range(0, 1000, 1, 1))
+    assert dealt(uneven) == (2000, False) and dealt(spark.range(0)) == (0, False)
+    data, _ = models.labelled(spark.range(0, 2400, 1, 24).selectExpr("id AS x", "id * 2D AS y"), "y", models.REGRESSION)
+    vectors = models.vectors_of(prep.fit_preparation(data, ["x"], []), data, *dealt(data))
+    assert vectors.rdd.getNumPartitions() == 24 and "Exchange" not in vectors._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("n", [1, 2, 999, 1000])
+def test_rounds_backwards_are_the_inverse(spark, n):
+    rounds, numbers = sampling.permutation_rounds(spark, n, 42, 1), np.arange(n, dtype=np.int64)
+    image = sampling.images(n)(numbers.copy(), rounds)
+    assert sorted(image.tolist()) == list(range(n))
+    assert sampling.images(n)(image, rounds[::-1]).tolist() == list(range(n))
+    want = spark.range(n).orderBy("id").selectExpr(f"{sampling.permuted('id', n, 42, 1)} AS p").collect()
+    assert image.tolist() == [r.p for r in want]
+
+
+def test_importance_of_many_rows_in_one_partition(spark, line, monkeypatch):
+    """They are dealt as given, before they are encoded: another permutation, of the same rows."""
+    monkeypatch.setattr(importances, "ROWS_PER_TASK", 1)
+    data, _ = models.labelled(line.coalesce(1), "y", models.REGRESSION)
+    fitted = prep.fit_preparation(data, ["x1", "x2"], ["k"])
+    estimator = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
+    final = models.Refit(models.REGRESSION, fitted, estimator.fit(fitted.transform(data).select(models.LABEL, prep.FEATURES)))
+    got = {r.feature: r["mean"] for r in importance(explained(data, ["k", "x1", "x2"], final)).collect()}
+    assert got["x1"] == pytest.approx(2.0, abs=0.1) and abs(got["k"]) < 1e-6 and abs(got["x2"]) < 1e-6
