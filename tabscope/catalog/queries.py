@@ -376,7 +376,7 @@ def _linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric, categorical = prep.feature_columns(df, target)
     preparation = prep.fit_preparation(data, numeric, categorical)
     estimator = dict(models.candidates(models.REGRESSION, 0))["LinearRegression"]
-    # The fit reads its vectors once, so they are not kept.
+    # The fit reads its vectors twice, too seldom to keep them on disk.
     model = models.fit_one(models.REGRESSION, estimator, models.vectors_of(preparation, data, *dealt(data)))
     final = models.Refit(models.REGRESSION, preparation, model)
     features = [c for c in df.columns if c != target]

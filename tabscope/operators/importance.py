@@ -94,7 +94,7 @@ def additive_drops(df: DataFrame, features: Sequence[str], final: Refit, repeats
         cells = [f"x{i}" for i in range(len(features))]
         plain = rows.select("label", *cells).mapInArrow(_predictions(shares, prediction), "label double, prediction double")
         # One row: the spread of the label and the score without any change.
-        base = regression_scores(plain).join(plain.agg(F.expr("var_pop(label) * count(1) AS total"))).first()
+        base = regression_scores(plain).join(rows.agg(F.expr("var_pop(label) * count(1) AS total"))).first()
         blocks = max(LEAST_TASKS, -(-n * (len(features) + 1) // BLOCK_CELLS))
         size, sums = max(1, -(-n // blocks)), []
         for some in _batches(repeats, n):
@@ -226,7 +226,7 @@ def _pieces(n: int, size: int, rounds: dict[int, list[tuple[int, int]]], most: i
         at, label, *cells = [c.to_numpy() for c in pa.Table.from_batches(held).columns]
         yield from cut(-1, at, [label, *cells])
         for repeat, steps in rounds.items():
-            slices = [of(at[i:i + 65536], steps) for i in range(0, len(at), 65536)]  # that stay in a processor's cache
+            slices = [of(at[i:i + 16384], steps) for i in range(0, len(at), 16384)]  # that stay in a processor's cache
             yield from cut(repeat, np.concatenate(slices), cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,17 +176,38 @@ def images(n: int):
     """The images of row numbers by some rounds; the function names nothing of this package, so executors need only numpy."""
     def of(x: np.ndarray, rounds: list[tuple[int, int]]) -> np.ndarray:
         p1, p2, p3, p4 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63))
-        r31, l33, r27, l37, s29, s32 = (np.uint64(b) for b in (31, 33, 27, 37, 29, 32))
+        x = x.astype(np.int64)  # a copy; all steps are done in place
+        mirror, rest, h, part = (np.empty(len(x), t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+
+        def turned(left: int) -> None:
+            np.left_shift(h, np.uint64(left), out=part)
+            np.right_shift(h, np.uint64(64 - left), out=h)
+            np.bitwise_or(h, part, out=h)
+
+        def mixed(right: int) -> None:
+            np.right_shift(h, np.uint64(right), out=part)
+            np.bitwise_xor(h, part, out=h)
+
         for key, begun in rounds:
-            mirror = key - x
-            mirror[mirror < 0] += n
-            h = np.maximum(x, mirror).view(np.uint64) * p2
-            h = ((h << r31) | (h >> l33)) * p1
+            np.subtract(key, x, out=mirror)
+            np.right_shift(mirror, 63, out=rest)  # all bits of negative numbers
+            mirror += np.bitwise_and(rest, n, out=rest)
+            np.maximum(x, mirror, out=h.view(np.int64))
+            h *= p2
+            turned(31)
+            h *= p1
             h ^= np.uint64((begun + 0x27D4EB2F165667C5 + 8) % 2**64)
-            h = ((h << r27) | (h >> l37)) * p1 + p4
-            h = (h ^ (h >> l33)) * p2
-            h = (h ^ (h >> s29)) * p3
-            x = np.where(((h ^ (h >> s32)) & np.uint64(1)).astype(bool), mirror, x)
+            turned(27)
+            h *= p1
+            h += p4
+            mixed(33)
+            h *= p2
+            mixed(29)
+            h *= p3
+            mixed(32)
+            h &= np.uint64(1)
+            np.bitwise_xor(x, mirror, out=mirror)
+            x ^= np.bitwise_and(mirror, np.negative(h.view(np.int64), out=rest), out=rest)
         return x
 
     return of
@@ -198,6 +219,6 @@ def _folded(n: int, rounds: list[tuple[int, int]]):
 
     @F.pandas_udf("bigint")
     def folded(index: pd.Series) -> pd.Series:
-        return pd.Series(of(index.to_numpy(dtype=np.int64, copy=True), rounds))
+        return pd.Series(of(index.to_numpy(), rounds))
 
     return folded
