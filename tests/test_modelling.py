@@ -301,6 +301,20 @@ def test_candidates_of_few_rows_are_fitted_side_by_side(spark, line, monkeypatch
     assert outcome.best.name == "LinearRegression"
 
 
+@pytest.mark.parametrize("n_rows,n_classes,tasks,at_once", [
+    (16_000, 50, 1, 12), (96_000, 50, 2, 6), (96_000, 3, 2, 3), (5_000_000, 50, 12, 4), (16_000, 2, 12, None), (16_000, 0, 12, None)])
+def test_many_classes_of_few_rows_are_boosted_in_few_tasks_each(spark, n_rows, n_classes, tasks, at_once):
+    """Classes are boosted side by side, each over as many tasks as its rows fill, so that jobs do not wait for tasks to start."""
+    kind = models.CLASSIFICATION if n_classes else models.REGRESSION
+    boosted = models.candidates(kind, n_rows, n_classes)[-1][1]
+    seen = []
+    boosted.fit = lambda vectors: seen.append((vectors.rdd.getNumPartitions(), vectors.count()))
+    vectors = spark.range(0, 120, 1, 12).selectExpr(f"id % 3D AS {models.LABEL}", "id")
+    models.fit_one(kind, boosted, vectors, n_rows)
+    assert seen == [(tasks, 120)]
+    assert at_once is None or boosted.getParallelism() == at_once
+
+
 def test_steps_together(spark):
     assert together(spark, [lambda i=i: spark.range(i).count() for i in (3, 1, 2)], 3) == [3, 1, 2]
     with pytest.raises(ZeroDivisionError):
